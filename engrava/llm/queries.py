@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from engrava.llm import residue_queries
+from engrava.llm import conversation_queries, residue_queries
 
-MODULES = (residue_queries,)
+MODULES = (residue_queries, conversation_queries)
 
 
 def queries() -> dict:
