@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engrava.functions.text import is_blank
 from engrava.operators import delivery
-from engrava.session import materialise, release, shuffle_partitions
+from engrava.session import materialise, shuffle_partitions
 
 
 def turns(messages: DataFrame) -> DataFrame:
@@ -44,42 +44,35 @@ def link(spoken: DataFrame) -> DataFrame:
     return rest.unionByName(heads)
 
 
-def resolve(nodes: DataFrame) -> DataFrame:
+def resolve(nodes: DataFrame, parents_exist: bool = False) -> DataFrame:
     """Pointer jumping: the root of every node of ``nodes`` (unique ``id``, nullable ``parent``), in log2(longest path) joins.
 
     Result: ``id``, ``root``, ``depth`` (steps below the root) and ``state``: ``rooted``; ``orphan`` (hangs on a parent that is
     not in the table; the topmost node present is the root); ``cycle`` (``root`` and ``depth`` null). Each round joins only the
     nodes that have not met a root, against the pointers of all; each round's pointers are written to the shared folder.
+    ``parents_exist`` saves the search for missing parents where the caller has made the pointers.
     """
-    start = nodes.select(
-        "id",
-        F.coalesce("parent", "id").alias("ptr"),
-        F.col("parent").isNotNull().cast("bigint").alias("depth"),
-        F.col("parent").isNull().alias("done"),
-        F.lit(False).alias("orphan"),
-    )
+    nodes = nodes.select("id", "parent")
+    missing = F.lit(False)
+    if not parents_exist:
+        nodes = nodes.join(nodes.select(F.col("id").alias("known")), F.col("parent") == F.col("known"), "left")
+        missing = F.col("parent").isNotNull() & F.col("known").isNull()
+    top = F.col("parent").isNull() | missing
+    start = nodes.select("id", F.when(top, F.col("id")).otherwise(F.col("parent")).alias("ptr"), F.when(top, 0).otherwise(1).cast("bigint").alias("depth"), top.alias("done"), missing.alias("orphan"))
     state = materialise(start, "jump")
     n_open = state.where("NOT done").count()
-    rounds = math.ceil(math.log2(max(2, state.count()))) + 1 if n_open else 0
-    settled, first = [], True
-    for _ in range(rounds):
-        if not n_open:
-            break
+    rounds = math.ceil(math.log2(max(2, state.count()))) + 1
+    settled = []
+    while n_open and len(settled) < rounds:
         to = state
         for s in settled:
             to = to.unionByName(s)
         there = to.select(F.col("id").alias("ptr"), F.col("ptr").alias("t_ptr"), F.col("depth").alias("t_depth"), F.col("done").alias("t_done"), F.col("orphan").alias("t_orphan"))
-        jumped = state.where("NOT done").join(there, "ptr", "left" if first else "inner")
-        missing = F.col("t_ptr").isNull()
-        jumped = jumped.select(
-            "id",
-            F.when(missing, F.col("id")).otherwise(F.col("t_ptr")).alias("ptr"),
-            F.when(missing, F.lit(0)).otherwise(F.col("depth") + F.col("t_depth")).cast("bigint").alias("depth"),
-            F.coalesce("t_done", F.lit(True)).alias("done"),
-            F.coalesce("t_orphan", F.lit(True)).alias("orphan"),
+        jumped = state.where("NOT done").join(there, "ptr").select(
+            "id", F.col("t_ptr").alias("ptr"), (F.col("depth") + F.col("t_depth")).alias("depth"), F.col("t_done").alias("done"), F.col("t_orphan").alias("orphan")
         )
         settled.append(state.where("done"))
-        state, first = materialise(jumped, "jump"), False
+        state = materialise(jumped, "jump")
         n_open = state.where("NOT done").count()
     out = state
     for s in settled:
@@ -129,14 +122,14 @@ def rebuild(messages: DataFrame) -> DataFrame:
     """
     spoken = turns(delivery.deduplicate(messages)).where(F.col("role").isNotNull())
     linked = materialise(link(spoken), "linked")
-    return linked.join(resolve(linked).select("id", "root", F.col("depth").alias("position")), "id")
+    return linked.join(resolve(linked, parents_exist=True).select("id", "root", F.col("depth").alias("position")), "id")
 
 
 def judged_sessions(messages: DataFrame) -> DataFrame:
     """Every session with ``dropped`` and ``reason``: ``no_user``, ``no_assistant``, ``late_user`` (the first turn is not a user's) or ``unanswered``."""
     kept = materialise(turns(delivery.deduplicate(messages)), "turns")
     linked = materialise(link(kept.where(F.col("role").isNotNull())), "linked")
-    placed = linked.join(resolve(linked).select("id", "root"), "id")
+    placed = linked.join(resolve(linked, parents_exist=True).select("id", "root"), "id")
     told = placed.groupBy("root").agg(
         F.count_if(F.col("role") == "user").alias("n_user"),
         F.count_if(F.col("role") == "assistant").alias("n_assistant"),
