@@ -1,3 +1,10 @@
 """Engrava: a PySpark-native engine for storing, governing and retrieving conversational memory."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with their code: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
