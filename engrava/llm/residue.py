@@ -176,20 +176,8 @@ def _terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}]{3,})"), 1)
 
 
-def residue(records: DataFrame, *, slot_words: float = 3.0, words_per_slot: float = 2.4, rest_words: float = 1.5, weak_rest: float = 5.0, hosts: int = 4) -> DataFrame:
-    """Records whose content stands for missing real content.
-
-    ``records`` needs ``rec_id``, ``host`` (who sent it), ``address`` (path or slug), ``title`` and ``content``; further
-    columns are not read. Result: ``rec_id`` and ``kind`` (``template``, ``filler``, ``error``).
-
-    * template: the words beside the slots are at most ``slot_words + words_per_slot`` times the slots;
-    * filler: filler vocabulary, one unit repeated, or keyboard rows;
-    * error (pages, notices, sample wording): such wording occurs and at most ``rest_words`` other words remain. With up to
-      ``weak_rest`` other words, and these under half of the text, the corpus decides: the same masked wording must have come
-      from at least ``hosts`` hosts under an address and title with no term in the body.
-
-    Null, empty and blank content is never residue. Very long texts are read whole. Repeated rows are judged one by one.
-    """
+def _judged(records: DataFrame, slot_words: float, words_per_slot: float, rest_words: float, weak_rest: float) -> DataFrame:
+    """The few rows that are residue by themselves (``kind``) or unclear (``mask``), written once, so that the texts are judged once."""
     low = F.lower(_spaced(F.col("content")))
     # 0: nothing to see, 1: to be judged, 2: filler
     look = _let(low, lambda t: F.when(_is_filler(t), 2).when(_marked(t) & _sparse(t), 1).otherwise(0))
@@ -202,17 +190,42 @@ def residue(records: DataFrame, *, slot_words: float = 3.0, words_per_slot: floa
     open_case = F.col("kind").isNull() & F.col("hint") & (F.col("rest") <= weak_rest) & (F.col("rest") <= 0.5 * F.col("units"))
     title_says_nothing = F.col("title").isNull() | F.col("content").startswith(F.col("title"))
     mismatch = title_says_nothing | ~F.arrays_overlap(_terms(F.concat_ws(" ", "address", "title")), _terms(F.col("content")))
-    # Both kinds of row are few; written once, so that the texts are judged once.
-    judged = materialise(
+    return materialise(
         judged.where(F.col("kind").isNotNull() | open_case).select("rec_id", "host", "kind", F.when(F.col("kind").isNull() & mismatch, _mask(F.col("content"))).alias("mask")),
         "residue",
     )
+
+
+def residue(records: DataFrame, *, slot_words: float = 3.0, words_per_slot: float = 2.4, rest_words: float = 1.5, weak_rest: float = 5.0, hosts: int = 4) -> DataFrame:
+    """Records whose content stands for missing real content.
+
+    ``records`` needs ``rec_id``, ``host`` (who sent it), ``address`` (path or slug), ``title`` and ``content``; further
+    columns are not read. Result: ``rec_id`` and ``kind`` (``template``, ``filler``, ``error``).
+
+    * template: the words beside the slots are at most ``slot_words + words_per_slot`` times the slots;
+    * filler: filler vocabulary, one unit repeated, or keyboard rows;
+    * error (pages, notices, sample wording): such wording occurs and at most ``rest_words`` other words remain. With up to
+      ``weak_rest`` other words, and these under half of the text, the corpus decides: the same masked wording must have come
+      from at least ``hosts`` hosts under an address and title with no term in the body.
+
+    Null, empty and blank content is never residue. Very long texts are read whole. Repeated rows are judged one by one.
+    """
+    judged = _judged(records, slot_words, words_per_slot, rest_words, weak_rest)
     unclear = judged.where(F.col("kind").isNull() & F.col("mask").isNotNull())
     many = unclear.groupBy("mask").agg(F.countDistinct("host").alias("n_hosts")).where(F.col("n_hosts") >= hosts).select("mask")
     by_corpus = unclear.join(many, "mask", "left_semi").select("rec_id", F.lit("error").alias("kind"))
     return judged.where(F.col("kind").isNotNull()).select("rec_id", "kind").unionByName(by_corpus)
 
 
+def residue_among(records: DataFrame, few: DataFrame) -> DataFrame:
+    """The ``rec_id`` of ``few`` that ``residue(records)`` holds, judging only these rows as long as all of them are clear."""
+    own = records.join(few.select("rec_id").distinct(), "rec_id", "left_semi")
+    judged = _judged(own, 3.0, 2.4, 1.5, 5.0)
+    if judged.where("kind IS NULL AND mask IS NOT NULL").isEmpty():
+        return judged.where("kind IS NOT NULL").select("rec_id")
+    return residue(records).select("rec_id").join(few.select("rec_id").distinct(), "rec_id", "left_semi")
+
+
 def exclude_residue(records: DataFrame) -> DataFrame:
     """All records but the residue, with their columns as they are. Needs unique ``rec_id``; see ``residue``."""
     gone = residue(records).select(F.col("rec_id").alias("__gone")).distinct()
