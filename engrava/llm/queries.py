@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from engrava.llm import conversation_queries, leakage_queries, neardup_queries, neighbour_queries, privacy_queries, residue_queries
+from engrava.llm import conversation_queries, leakage_queries, mixture_queries, neardup_queries, neighbour_queries, privacy_queries, reading_queries, residue_queries
 
-MODULES = (residue_queries, neighbour_queries, neardup_queries, conversation_queries, privacy_queries, leakage_queries)
+MODULES = (residue_queries, neighbour_queries, neardup_queries, conversation_queries, privacy_queries, leakage_queries, mixture_queries, reading_queries)
 
 
 def queries() -> dict:
