@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engrava.plans import delivery
+from engrava.plans import delivery, retrieval
 
-MODULES = (delivery,)
+MODULES = (delivery, retrieval)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.p3_found(spark, sf_dir)
+    return retrieval.q01_vector_topk(spark, sf_dir)
