@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engrava.plans import delivery, retrieval
+from engrava.plans import delivery, retrieval, store, store_sql
 
-MODULES = (delivery, retrieval)
+QUERY_MODULES = (delivery, retrieval, store)
+SQL_MODULES = (delivery, retrieval, store_sql)
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in QUERY_MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+    return {name: sql for m in SQL_MODULES for name, sql in m.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
