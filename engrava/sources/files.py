@@ -13,7 +13,7 @@ def read_vault(spark: SparkSession, folder: str) -> DataFrame:
     """Notes of a Markdown vault: ``path``, ``section``, ``mtime``, ``title``, ``status``, ``tags``, ``links``, ``body``. Index pages and dot folders stay out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
     files = files.where(~F.col("path").rlike(r"/\.[^/]+/|/index\.md$"))
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     return files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("section"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"), text.alias("text")).select(
         "path", "section", "mtime", notes.title(F.col("text")).alias("title"), notes.field(F.col("text"), "status").alias("status"), notes.tags(F.col("text")).alias("tags"), notes.links(F.col("text")).alias("links"), notes.body(F.col("text")).alias("body")
     )
