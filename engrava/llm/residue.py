@@ -71,6 +71,10 @@ LOREM_WORDS = (
 _CHROME_CJK = "占位文字|文字|这里|这儿|替换|稍后|需要|允许|启用|开启|打开|脚本|功能|才能|查看|浏览器|浏览|使用|继续|本页|该页|此页|页面|该应用|应用|内容|您的|你的|我们|尚未|未|无法|显示|请|刷新|之后|后|会话|不存在|服务器|服务|内部|错误|稍后|再试|重试|访问|被|拒绝|没有|权限|找不到|该|此|处|填写|示例|文本|待补充|占位|出错了|超时|网关|检查|正在|安全|链接|已|失效|删除|暂时|不可用|过多|请求|返回|首页|登录|以|可能|需|先|的|在|里|中|才|能|并|再|到|了"
 
 
+#: Up to so many anchor words of unclear rows the corpus is searched for them before it is judged.
+ANCHORS = 200
+
+
 def _any(patterns: tuple[str, ...]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
@@ -167,9 +171,19 @@ def _judge(content: Column, rest_at_most: float) -> Column:
     return _let(_plain(content), of_plain)
 
 
+def _wording(content: Column) -> Column:
+    return F.trim(F.regexp_replace(_without_references(F.lower(F.regexp_replace(_plain(content), SLOT, "{}"))), rf"{_NOT_WORD}+", " "))
+
+
 def _mask(content: Column) -> Column:
     """The wording of a record with slots, paths, numbers and codes masked: what equal responses have in common."""
-    return F.md5(F.trim(F.regexp_replace(_without_references(F.lower(F.regexp_replace(_plain(content), SLOT, "{}"))), rf"{_NOT_WORD}+", " ")))
+    return F.md5(_wording(content))
+
+
+def _anchor(content: Column) -> Column:
+    """The longest word of the masked wording: every record of equal wording holds it."""
+    longest = F.array_sort(F.transform(F.split(_wording(content), " "), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.element_at(longest, 1)["w"]
 
 
 def _terms(c: Column) -> Column:
@@ -191,7 +205,7 @@ def _judged(records: DataFrame, slot_words: float, words_per_slot: float, rest_w
     title_says_nothing = F.col("title").isNull() | F.col("content").startswith(F.col("title"))
     mismatch = title_says_nothing | ~F.arrays_overlap(_terms(F.concat_ws(" ", "address", "title")), _terms(F.col("content")))
     return materialise(
-        judged.where(F.col("kind").isNotNull() | open_case).select("rec_id", "host", "kind", F.when(F.col("kind").isNull() & mismatch, _mask(F.col("content"))).alias("mask")),
+        judged.where(F.col("kind").isNotNull() | open_case).select("rec_id", "host", "kind", F.when(F.col("kind").isNull() & mismatch, _mask(F.col("content"))).alias("mask"), F.when(F.col("kind").isNull(), _anchor(F.col("content"))).alias("anchor")),
         "residue",
     )
 
@@ -221,9 +235,16 @@ def residue_among(records: DataFrame, few: DataFrame) -> DataFrame:
     """The ``rec_id`` of ``few`` that ``residue(records)`` holds, judging only these rows as long as all of them are clear."""
     own = records.join(few.select("rec_id").distinct(), "rec_id", "left_semi")
     judged = _judged(own, 3.0, 2.4, 1.5, 5.0)
-    if judged.where("kind IS NULL AND mask IS NOT NULL").isEmpty():
-        return judged.where("kind IS NOT NULL").select("rec_id")
-    return residue(records).select("rec_id").join(few.select("rec_id").distinct(), "rec_id", "left_semi")
+    sure = judged.where("kind IS NOT NULL").select("rec_id")
+    anchors = [r.anchor for r in judged.where("kind IS NULL AND mask IS NOT NULL").select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    if not anchors:
+        return sure
+    # the corpus decides on the rest: only records that hold an anchor can have the same wording
+    like = records
+    if len(anchors) <= ANCHORS and all(anchors):
+        text = F.lower(F.col("content"))
+        like = records.where(F.exists(F.array(*[F.lit(w) for w in anchors]), lambda w: F.contains(text, w)))
+    return sure.unionByName(residue(like).select("rec_id").join(few.select("rec_id").distinct(), "rec_id", "left_semi")).distinct()
 
 
 def exclude_residue(records: DataFrame) -> DataFrame:
