@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engrava.session import small
+
 # Function words that are no query terms.
 STOP_TERMS = ("a", "an", "and", "are", "as", "at", "be", "by", "das", "der", "die", "do", "does", "for", "from", "im", "in", "is", "it", "of", "on", "or", "steht", "the", "to", "was", "what", "with", "zu")
 
@@ -67,16 +69,18 @@ def postings(texts: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, texts: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of every text that shares a term with a query: ``qid``, ``id``, ``bm25``.
 
+    Null and empty texts and queries without terms give no row; further columns are not read; ``id`` and ``qid`` must be unique.
+
     Only terms of the queries are looked up; statistics are over all texts. A term in more than half of the texts keeps a tiny weight.
     """
     asked = queries.select("qid", F.explode(terms(F.col("text"))).alias("term")).distinct()
     stats = texts.agg(F.count("*").alias("n"), F.avg(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_]{2,})"), 1))).alias("avg_len"))
-    hits = postings(texts).join(F.broadcast(asked.select("term").distinct()), "term")
+    hits = postings(texts).join(small(asked.select("term").distinct()), "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighted = hits.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return weighted.select("id", "term", part.alias("part")).join(F.broadcast(asked), "term").groupBy("qid", "id").agg(F.sum("part").alias("bm25"))
+    return weighted.select("id", "term", part.alias("part")).join(small(asked), "term").groupBy("qid", "id").agg(F.sum("part").alias("bm25"))
 
 
 def min_max(scored: DataFrame, score: str) -> DataFrame:
@@ -95,7 +99,7 @@ def term_coverage(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """Lexical rate of each text with a common term: ``qid``, ``id``, ``matched``, ``rate`` = min(1, matched / max(1, min(terms, 3)))."""
     asked = queries.select("qid", terms(F.col("text")).alias("ts")).select("qid", F.size("ts").alias("n_terms"), F.explode("ts").alias("term"))
     there = texts.select("id", F.explode(terms(F.col("text"))).alias("term"))
-    matched = there.join(F.broadcast(asked), "term").groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched"))
+    matched = there.join(small(asked), "term").groupBy("qid", "id", "n_terms").agg(F.count("*").alias("matched"))
     rate = F.least(F.lit(1.0), F.col("matched") / F.greatest(F.lit(1), F.least(F.col("n_terms"), F.lit(3))))
     return matched.select("qid", "id", "matched", rate.alias("rate"))
 
