@@ -25,6 +25,13 @@ def turns(messages: DataFrame) -> DataFrame:
     )
 
 
+def kept_turns(messages: DataFrame) -> DataFrame:
+    """``turns`` of the rows that deduplication leaves; the texts are not carried through its join."""
+    gone = delivery.redelivered(messages).withColumnRenamed("id", "__gone")
+    all_turns = turns(messages)
+    return all_turns.join(gone, all_turns["id"] == gone["__gone"], "left_anti")
+
+
 def link(spoken: DataFrame) -> DataFrame:
     """Parent pointers: to each row of ``spoken`` (``id``, ``sid``, ``sec``, ``role``) the row before it in its session, by time and id.
 
@@ -120,14 +127,14 @@ def rebuild(messages: DataFrame) -> DataFrame:
     (first turn of the conversation) and ``position`` from 0. Null sessions, blank texts and roles that cannot be told take no
     part; equal times are ordered by id, missing times come last; an empty table gives an empty result.
     """
-    spoken = turns(delivery.deduplicate(messages)).where(F.col("role").isNotNull())
+    spoken = kept_turns(messages).where(F.col("role").isNotNull())
     linked = materialise(link(spoken), "linked")
     return linked.join(resolve(linked, parents_exist=True).select("id", "root", F.col("depth").alias("position")), "id")
 
 
 def judged_sessions(messages: DataFrame) -> DataFrame:
     """Every session with ``dropped`` and ``reason``: ``no_user``, ``no_assistant``, ``late_user`` (the first turn is not a user's) or ``unanswered``."""
-    kept = materialise(turns(delivery.deduplicate(messages)), "turns")
+    kept = materialise(kept_turns(messages), "turns")
     linked = materialise(link(kept.where(F.col("role").isNotNull())), "linked")
     placed = linked.join(resolve(linked, parents_exist=True).select("id", "root"), "id")
     told = placed.groupBy("root").agg(
