@@ -87,9 +87,10 @@ def balance(counted: DataFrame, targets: DataFrame, *, total: int | None = None,
 def mix(documents: DataFrame, targets: DataFrame, *, total: int | None = None, seed: int = 17, folder: str = TOKENIZERS) -> DataFrame:
     """The mixture: ``doc_id``, ``source``, ``tokens`` and ``copies`` of each document that occurs in it.
 
-    Rates of ``balance`` become whole copies by systematic rounding within each source over 512 hash strata: copies are the steps of
-    the running sum of rates, so a source's tokens stay within a few documents of its constraint and no document exceeds
-    ``max_repeats``. Sources without a target and documents with null source take no part; ``doc_id`` must be unique.
+    Rates of ``balance`` become whole copies: the whole part of the rate, and one more with the probability of its fraction, decided
+    by a hash of the document. ``corrected`` then takes back the rounding error of each source, so its tokens stay within a few
+    documents of its constraint, and no document exceeds ``max_repeats``. Sources without a target and documents with null source
+    or without text take no part; an empty table gives an empty result; ``doc_id`` must be unique.
     """
     counted = materialise(token_counts(documents, folder=folder), "tokens")
     plan = F.broadcast(balance(counted, targets, total=total))
