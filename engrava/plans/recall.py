@@ -5,17 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engrava.functions.text import INVISIBLE, normalised
+from engrava.functions.text import INVISIBLE, normalised, occurrences
 from engrava.operators import gates, retrieval
 from engrava.plans import retrieval as plans
 from engrava.plans import store
 from engrava.plans.store_sql import _WEIGHT, norm
 from engrava.plans.store_sql import ORACLE as STORE_SQL
+from engrava.session import small
 from engrava.sources import read_table
 
 FLOORS = (0.0, 0.1, 0.2, 0.4, 0.6, 0.8)
 
 
+def q04_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known entities as whole-query substrings of message texts: score 0.5 and 0.1 for each occurrence, 1 at most."""
+    entities = read_table(spark, sf_dir, "entity_map", "entity").where("length(entity) > 0").distinct()
+    rows = read_table(spark, sf_dir, "messages", "id", F.lower("content").alias("text")).where("text IS NOT NULL")
+    met = rows.join(small(entities), F.contains("text", F.lower("entity")))
+    score = F.least(F.lit(1.0), 0.5 + 0.1 * occurrences(F.col("text"), F.lower("entity")))
+    return met.select("entity", "id", F.round(score, 4).alias("score"))
+
+
+def q21_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ideograph segments of bench answers in documents: (0.5 + 0.3 matched / segments) with decay, the ten best of each question."""
+    runs = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"([\x{4E00}-\x{9FFF}]{2,})"), 1))
+    asked = read_table(spark, sf_dir, "bench", F.col("item_id").alias("qid"), "answer").select("qid", runs.alias("runs")).where(F.size("runs") > 0)
+    segments = asked.select("qid", F.size("runs").alias("n"), F.explode("runs").alias("segment"))
+    docs = read_table(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text", (F.unix_micros(F.col("updated").cast("timestamp")) / 1e6).alias("sec")).where("text IS NOT NULL")
+    met = docs.join(small(segments), F.contains("text", "segment")).groupBy("qid", "id", "n", "sec").agg(F.count("*").alias("matched"))
+    scored = met.withColumn("score", F.round((0.5 + 0.3 * F.col("matched") / F.col("n")) * retrieval.decay(F.lit(plans.NOW) - F.col("sec")), 4))
+    return retrieval.top(scored, "score", 10).select("qid", "id", "matched", "score", "rank")
+
+
 def q33_link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that resolve to a note and links that do not."""
     return store.q32_backlinks(spark, sf_dir).groupBy("known").agg(F.count("*").alias("n_targets"), F.sum("n_notes").alias("n_links"))
@@ -95,6 +116,13 @@ def _recall_sql() -> str:
 
 
 ORACLE = {
+    "q04_substring": """SELECT entity, id, round(least(1.0, 0.5 + 0.1 * ((length(lower(content)) - length(replace(lower(content), lower(entity), ''))) / length(entity))::BIGINT)::DOUBLE, 4) AS score
+        FROM messages, (SELECT DISTINCT entity FROM entity_map WHERE length(entity) > 0) WHERE contains(lower(content), lower(entity))""",
+    "q21_segments": rf"""WITH dated AS (SELECT doc_id AS id, text, epoch_us(updated) / 1e6 AS sec FROM documents WHERE text IS NOT NULL), asked AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(answer, '[\x{{4E00}}-\x{{9FFF}}]{{2,}}')) AS runs FROM bench),
+        seg AS (SELECT qid, len(runs) AS n, unnest(runs) AS segment FROM asked),
+        met AS (SELECT qid, id, n, sec, count(*) AS matched FROM dated JOIN seg ON contains(text, segment) GROUP BY ALL),
+        scored AS (SELECT qid, id, matched, round((0.5 + 0.3 * matched / n) * CASE WHEN sec IS NULL THEN 1 ELSE exp(-0.693 * greatest(0, {plans.NOW} - sec) / 604800) END, 4) AS score FROM met)
+        {plans._top_sql('score', 10, 'scored', 'qid, id, matched, score, rank')}""",
     "q33_link_audit": f"SELECT known, count(*) AS n_targets, sum(n_notes)::BIGINT AS n_links FROM ({STORE_SQL['q32_backlinks']}) GROUP BY known",
     "q41_fact_gate": _gate_sql(),
     "q59_threshold_sweep": f"SELECT floor, count(*) FILTER (WHERE scaled >= floor) AS n_hits, count(DISTINCT qid) FILTER (WHERE scaled >= floor) AS n_questions FROM ({plans.ORACLE['q19_bm25']}), (SELECT unnest([{', '.join(f'{f}::DOUBLE' for f in FLOORS)}]) AS floor) GROUP BY floor",
