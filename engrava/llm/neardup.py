@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,13 +159,22 @@ def representatives(texts: DataFrame, gone: DataFrame | None = None) -> tuple[Da
     return reps, keys.join(first.where("copies > 1"), ["tbl", "h"]).select("tbl", "id", "rep")
 
 
-def pairs(reps: DataFrame, *, kind: str = "words", size: int = 5, at_least: float = 0.8, weighted: bool = True, bands: int = 24, rows: int = 5) -> DataFrame:
+def banding(at_least: float, missed: float = 1e-4) -> tuple[int, int]:
+    """Bands and samples a band, so that a pair of weighted similarity ``at_least`` meets in no band with a probability of ``missed`` at most."""
+    rows = max(1, round(1 + 5 * at_least))
+    agree = min(max(at_least, 0.05) ** rows, 1 - 1e-9)
+    return max(1, math.ceil(math.log(missed) / math.log1p(-agree))), rows
+
+
+def pairs(reps: DataFrame, *, kind: str = "words", size: int = 5, at_least: float = 0.8, weighted: bool = True, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """Pairs of representatives (``tbl``, ``a`` < ``b``, ``similarity``) at ``at_least`` or more.
 
-    ``bands`` bands of ``rows`` samples; rows that agree in a band meet by an equi-join on the band's hash (a hot band is split
+    ``bands`` bands of ``rows`` samples, by ``at_least`` unless given (see ``banding``); rows that agree in a band meet by an equi-join on the band's hash (a hot band is split
     by Spark's skew join; no group is gathered) and are verified on their whole texts: by weighted Jaccard, or with
     ``weighted=False`` by the plain Jaccard of the shingle sets.
     """
+    if bands is None or rows is None:
+        bands, rows = banding(at_least)
     n = max(1, reps.count())
     df = document_frequencies(reps, kind, size)
     shared = reps.sparkSession.sparkContext.broadcast(df.astype(np.int32))

@@ -55,3 +55,26 @@ def test_nothing(spark):
     reps, members = neardup.representatives(spark.createDataFrame([], "tbl string, id bigint, text string"))
     links = neardup.pairs(reps)
     assert links.count() == 0 and neardup.expand(links, members).count() == 0 and neardup.groups(links, reps).count() == 0
+
+
+def test_bands_follow_the_threshold():
+    assert neardup.banding(0.8) == (24, 5)
+    for at_least in (0.05, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
+        bands, rows = neardup.banding(at_least)
+        assert (1 - at_least**rows) ** bands <= 1.01e-4
+
+
+def test_borderline_pairs_meet(spark):
+    rng = random.Random(5)
+    rows, want = [], set()
+    for i in range(400):
+        w = [rng.choice(WORDS) for _ in range(40)]
+        v = list(w)
+        for at in rng.sample(range(40), 8):
+            v[at] = rng.choice(WORDS)
+        a, b = " ".join(w), " ".join(v)
+        if 0.6 <= len(grams(a) & grams(b)) / len(grams(a) | grams(b)) < 0.7:
+            want.add((2 * i, 2 * i + 1))
+        rows += [("t", 2 * i, a), ("t", 2 * i + 1, b)]
+    links = neardup.pairs(spark.createDataFrame(rows, "tbl string, rep bigint, text string"), kind="chars", size=5, at_least=0.6, weighted=False)
+    assert len(want) > 100 and len(want & {(r.a, r.b) for r in links.collect()}) >= 0.99 * len(want)
