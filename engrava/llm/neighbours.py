@@ -62,17 +62,20 @@ def fit(sample: np.ndarray, leaves: int, branching: int, seed: int = 7) -> tuple
         open_nodes.remove(node)
         own = members[node]
         k = min(branching, len(own) // 8, leaves - n_leaves + 1)
-        if k < 2:
-            continue
+        if k < 2 or (sample[own] == sample[own[0]]).all():
+            continue  # equal vectors can't be parted
         c, label = _kmeans(sample[own], k, 8, seed + node)
+        full = np.unique(label)
+        if len(full) < 2:
+            continue
         first = len(centres)
-        for j in range(k):
+        for j in full:
             centres.append(c[j])
             children.append((0, 0))
             members.append(own[label == j])
             open_nodes.append(first + j)
-        children[node] = (first, first + k)
-        n_leaves += k - 1
+        children[node] = (first, first + len(full))
+        n_leaves += len(full) - 1
     return np.array(centres, dtype=np.float32), children
 
 
@@ -118,13 +121,14 @@ def search(tree: Tree, x: np.ndarray, margin: float | None = None, visits: int |
 def calibrate(centres: np.ndarray, children: list[tuple[int, int]], sample: np.ndarray, at_least: float, recall: float, visits: int, asked: int = 5000) -> tuple[float, float]:
     """Widen the margin until the pairs of the sample at ``at_least`` or more meet in a leaf often enough: (margin, recall reached).
 
-    A pair meets if either side visits the leaf the other lives in. The first ``asked`` rows are held against brute force over the whole sample.
+    A pair meets if either side visits the leaf the other lives in; pairs of equal vectors always do and don't count. The first ``asked`` rows are held against brute force over the whole sample.
     """
     pairs = []
     for a in range(0, min(asked, len(sample)), 256):
         i, j = np.nonzero(sample[a : a + 256] @ sample.T >= at_least)
-        keep = i + a != j
-        pairs.append(np.stack([i[keep] + a, j[keep]], axis=1))
+        i, j = i[i + a != j] + a, j[i + a != j]
+        keep = (sample[i] != sample[j]).any(axis=1)
+        pairs.append(np.stack([i[keep], j[keep]], axis=1))
     pairs = np.concatenate(pairs)
     if not len(pairs):
         return 0.1, 1.0
@@ -195,7 +199,8 @@ def nearest(
     lead = crowded.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     surplus = crowded.join(lead.select("id"), "id", "left_anti")
     indexed = usable_rows.join(surplus.select("id"), "id", "left_anti") if not crowded.isEmpty() else usable_rows
-    tree = build(usable_rows, usable_rows.count(), at_least=at_least, leaf_size=leaf_size, max_leaves=max_leaves, per_leaf=per_leaf, branching=branching, recall=recall, visits=visits)
+    # the surplus copies would crowd the sample
+    tree = build(indexed, indexed.count(), at_least=at_least, leaf_size=leaf_size, max_leaves=max_leaves, per_leaf=per_leaf, branching=branching, recall=recall, visits=visits)
     shared = vectors.sparkSession.sparkContext.broadcast((tree.centres, tree.children, tree.margin, tree.visits))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

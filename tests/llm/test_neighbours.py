@@ -37,3 +37,25 @@ def test_nothing(spark):
     assert neighbours.nearest(table).count() == 0
     alone = spark.createDataFrame([(1, [1.0] * 64), (2, [-1.0] * 64)], table.schema)
     assert neighbours.nearest(alone).count() == 0
+
+
+def test_copies_take_no_leaves():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2000, 16))
+    v = np.concatenate([np.repeat(v[:1], 1000, axis=0), v]).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    centres, children = neighbours.fit(v, 100, 8)
+    leaves = [c for c, (a, b) in zip(centres, children, strict=True) if a == b]
+    assert len(np.unique(np.round(leaves, 4), axis=0)) == len(leaves) >= 90
+    # pairs of equal vectors alone say nothing about the recall
+    assert neighbours.calibrate(centres, children, v[:1000], 0.86, 0.999, 16)[0] == 0.1
+
+
+def test_tree_is_built_without_surplus_copies(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([np.ones((300, 16)), rng.normal(size=(50, 16))])
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vector array<float>")
+    seen, build = [], neighbours.build
+    monkeypatch.setattr(neighbours, "build", lambda vectors, n, **kw: seen.append((vectors.count(), n)) or build(vectors, n, **kw))
+    assert neighbours.nearest(table, width=16).where("id < 300").count() == 1500
+    assert seen == [(56, 56)]
