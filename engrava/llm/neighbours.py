@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 
 from engrava.session import materialise
 
+_LOG = logging.getLogger(__name__)
 
 #: A tree is fitted on no more than about this many vectors.
 MOST_SAMPLED = 200_000
 
+#: No tree of less recall on its sample is used, unless less is asked for.
+LEAST_RECALL = 0.9
+
 #: How far below the margin inner bins are still opened.
 OPEN_BELOW = 0.12
 
@@ -28,8 +33,10 @@ class Tree:
     children: list[tuple[int, int]]
     #: A leaf is visited while its centroid is at most this much less similar than the best one.
     margin: float
-    #: No query visits more leaves than this.
+    #: No query visits more leaves than this; chosen with the margin, so that the recall is reached.
     visits: int
+    #: The recall reached on the sample.
+    recall: float = 1.0
 
 
 def usable(vector: Column, width: int) -> Column:
@@ -118,9 +125,10 @@ def search(tree: Tree, x: np.ndarray, margin: float | None = None, visits: int |
     return np.concatenate(rows), np.concatenate(leaves), np.concatenate(ranks)
 
 
-def calibrate(centres: np.ndarray, children: list[tuple[int, int]], sample: np.ndarray, at_least: float, recall: float, visits: int, asked: int = 5000) -> tuple[float, float]:
-    """Widen the margin until the pairs of the sample at ``at_least`` or more meet in a leaf often enough: (margin, recall reached).
+def calibrate(centres: np.ndarray, children: list[tuple[int, int]], sample: np.ndarray, at_least: float, recall: float, visits: int, asked: int = 5000) -> tuple[float, int, float]:
+    """Widen the margin and the number of visits until the pairs of the sample at ``at_least`` or more meet in a leaf often enough: (margin, visits, recall reached).
 
+    Visits start at ``visits`` and double, up to all leaves, where most missed pairs ran out of them; else the margin is widened.
     A pair meets if either side visits the leaf the other lives in; pairs of equal vectors always do and don't count. The first ``asked`` rows are held against brute force over the whole sample.
     """
     pairs = []
@@ -131,20 +139,27 @@ def calibrate(centres: np.ndarray, children: list[tuple[int, int]], sample: np.n
         pairs.append(np.stack([i[keep], j[keep]], axis=1))
     pairs = np.concatenate(pairs)
     if not len(pairs):
-        return 0.1, 1.0
+        return 0.1, visits, 1.0
     used, at = np.unique(pairs, return_inverse=True)
     at = at.reshape(pairs.shape)
-    margin, reached = 0.03, 0.0
+    margin, n_leaves = 0.03, sum(a == b for a, b in children)
     while True:
-        rows, leaves, ranks = search(Tree(centres, children, margin, visits), sample[used])
+        parts = [(c, search(Tree(centres, children, margin, visits), sample[used[c : c + 2000]])) for c in range(0, len(used), 2000)]
+        rows = np.concatenate([c + found[0] for c, found in parts])
+        leaves, ranks = (np.concatenate([found[p] for _, found in parts]) for p in (1, 2))
         home = np.zeros(len(used), dtype=np.int64)
         home[rows[ranks == 0]] = leaves[ranks == 0]
         seen = np.unique(rows * len(centres) + leaves)
         meets = np.isin(at[:, 0] * len(centres) + home[at[:, 1]], seen) | np.isin(at[:, 1] * len(centres) + home[at[:, 0]], seen)
         reached = float(meets.mean())
-        if reached >= recall or margin > 0.5:
-            return margin, reached
-        margin *= 1.25
+        # with all leaves within the widest margin every pair meets
+        if reached >= recall or (visits >= n_leaves and margin > 2):
+            return margin, visits, reached
+        spent = (np.bincount(rows, minlength=len(used)) >= visits)[at[~meets]].any(axis=1)
+        if visits < n_leaves and (spent.mean() > 0.5 or margin > 2):
+            visits = min(2 * visits, n_leaves)
+        else:
+            margin *= 1.25
 
 
 def build(vectors: DataFrame, n: int, *, at_least: float, leaf_size: int, max_leaves: int, per_leaf: int, branching: int, recall: float, visits: int) -> Tree:
@@ -158,8 +173,11 @@ def build(vectors: DataFrame, n: int, *, at_least: float, leaf_size: int, max_le
         return Tree(np.zeros((1, 1), np.float32), [(0, 0)], 0.0, 1)
     sample /= np.linalg.norm(sample, axis=1)[:, None]
     centres, children = fit(sample, leaves, branching)
-    margin, _ = calibrate(centres, children, sample, at_least, recall, visits)
-    return Tree(centres, children, margin, visits)
+    margin, visits, reached = calibrate(centres, children, sample, at_least, recall, visits)
+    _LOG.info("%d nodes, margin %.3f, %d visits: recall %.4f on the sample", len(centres), margin, visits, reached)
+    if reached < min(recall, LEAST_RECALL):
+        raise ValueError(f"recall {reached:.4f} on the sample, {recall} wanted")
+    return Tree(centres, children, margin, visits, reached)
 
 
 def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +206,8 @@ def nearest(
     result for all of them exactly, so one vector that makes up a third of all rows is no hot leaf.
 
     The index is a hierarchical k-means tree fitted on a bounded sample (``MOST_SAMPLED``); every row
-    lives in the leaf of its best bin and visits further leaves, best bin first, as far as the margin calibrated on the sample
-    asks. The search inside a leaf is exact. Leaves with more than ``block`` rows are cut into blocks that meet pairwise.
+    lives in the leaf of its best bin and visits further leaves, best bin first, as far as the margin and the number of visits
+    calibrated on the sample ask (``visits`` is where their number starts). The search inside a leaf is exact. Leaves with more than ``block`` rows are cut into blocks that meet pairwise.
     """
     usable_rows = vectors.where(usable(F.col("vector"), width)).select("id", "vector")
     hashed = usable_rows.select("id", F.xxhash64("vector", F.lit(3)).alias("h1"), F.md5(F.concat_ws(",", "vector")).alias("h2"))

@@ -59,3 +59,11 @@ def test_tree_is_built_without_surplus_copies(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "build", lambda vectors, n, **kw: seen.append((vectors.count(), n)) or build(vectors, n, **kw))
     assert neighbours.nearest(table, width=16).where("id < 300").count() == 1500
     assert seen == [(56, 56)]
+
+
+def test_visits_widen_until_the_recall_is_reached(spark):
+    v = np.random.default_rng(6).normal(size=(2000, 4)).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vector array<float>")
+    want = brute(list(range(len(v))), v.astype(np.float64), 5, 0.86)
+    got = {(r.id, r.other) for r in neighbours.nearest(table, width=4, leaf_size=20, visits=1).collect()}
+    assert len(want & got) >= 0.99 * len(want)
