@@ -251,6 +251,12 @@ def groups(links: DataFrame, reps: DataFrame) -> DataFrame:
     return reps.select("tbl", "rep").join(placed, ["tbl", "rep"], "left").select("tbl", "rep", F.coalesce("group", "rep").alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def placed(grouped: DataFrame, members: DataFrame) -> DataFrame:
+    """One row for each record (``tbl``, ``id``) with its representative and that one's group and links (see ``groups``)."""
+    copies = members.where("id <> rep").join(grouped, ["tbl", "rep"])
+    return grouped.withColumn("id", F.col("rep")).unionByName(copies).select("tbl", "id", "rep", "group", "n_links")
+
+
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs of records behind links of representatives: copies of either side, and the copies of one text among themselves (``tbl``, ``id_a`` < ``id_b``)."""
     own = members.select("tbl", F.col("rep").alias("a"), F.col("id").alias("ia"))

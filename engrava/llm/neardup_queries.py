@@ -35,10 +35,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of facts at the strict measure (five words, weighted Jaccard 0.8): one row for each distinct text, with group and links."""
+    """Groups of facts and of messages at the strict measure (five words, weighted Jaccard 0.8): one row for each record with text, with its representative, group and links.
+
+    All rows take part, redelivered ones and ones without session too; a record's copies are in its group.
+    """
     facts = read_table(spark, sf_dir, "facts", F.lit("facts").alias("tbl"), F.col("fact_id").alias("id"), "content")
-    reps, _ = neardup.representatives(neardup.prepared(facts, F.col("content"), 1))
-    return neardup.groups(neardup.pairs(reps), reps)
+    messages = read_table(spark, sf_dir, "messages", F.lit("messages").alias("tbl"), "id", "content")
+    reps, members = neardup.representatives(neardup.prepared(facts.unionByName(messages), F.col("content"), 1))
+    return neardup.placed(neardup.groups(neardup.pairs(reps), reps), members)
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}

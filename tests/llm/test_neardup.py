@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from engrava.llm import neardup
+from engrava.llm import neardup, neardup_queries
 
 WORDS = [a + b for a in "ka lo mi nu pe ra so tu vi zo".split() for b in "bar den fil gos hum jat kel mur nop rit".split()]
 
@@ -78,3 +78,12 @@ def test_borderline_pairs_meet(spark):
         rows += [("t", 2 * i, a), ("t", 2 * i + 1, b)]
     links = neardup.pairs(spark.createDataFrame(rows, "tbl string, rep bigint, text string"), kind="chars", size=5, at_least=0.6, weighted=False)
     assert len(want) > 100 and len(want & {(r.a, r.b) for r in links.collect()}) >= 0.99 * len(want)
+
+
+def test_groups_place_every_record(spark, tmp_path):
+    base = " ".join(WORDS[:60])
+    near = base.replace(WORDS[59], "other")
+    spark.createDataFrame([(1, base), (2, near), (3, base.upper()), (4, "alone")], "fact_id bigint, content string").write.parquet(str(tmp_path / "facts.parquet"))
+    spark.createDataFrame([(1, near, "s"), (5, base, None), (6, near, "s"), (7, None, "s"), (8, "alone", "s")], "id bigint, content string, session_id string").write.parquet(str(tmp_path / "messages.parquet"))
+    got = {(r.tbl, r.id): r.group for r in neardup_queries.p4_groups(spark, str(tmp_path)).collect()}
+    assert got == {("facts", 1): 1, ("facts", 2): 1, ("facts", 3): 1, ("facts", 4): 4, ("messages", 1): 1, ("messages", 5): 1, ("messages", 6): 1, ("messages", 8): 8}
