@@ -147,11 +147,17 @@ def pack(ranked: DataFrame, budget: int, per_token: int = 4) -> DataFrame:
     return rows.select("qid", F.aggregate("rows", start, step).alias("p")).select("qid", F.posexplode("p.ids").alias("position", "id"), F.col("p.used").alias("used"))
 
 
+def diversity_pool(k: int) -> int:
+    """How many of the best candidates ``diverse`` chooses ``k`` from."""
+    return min(max(5 * k, 20), 60)
+
+
 def diverse(ranked: DataFrame, k: int, weight: float) -> DataFrame:
-    """Maximal marginal relevance over each query's pool (``qid``, ``id``, ``score``, ``text``; pools are top-k lists): ``qid``, ``id``, ``position``."""
+    """Maximal marginal relevance over each query's pool, its ``diversity_pool(k)`` best (``qid``, ``id``, ``score``, ``text``; pools are top-k lists): ``qid``, ``id``, ``position``."""
+    most = diversity_pool(k)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
+        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).head(most)
         grams = [{t[i : i + 2] for i in range(len(t) - 1)} for t in pdf["text"].fillna("").str.lower()]
         score, left, taken = pdf["score"].to_numpy(), list(range(len(pdf))), []
         near = np.zeros(len(pdf))

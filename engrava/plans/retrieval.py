@@ -92,7 +92,7 @@ def q12_fixed_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q14_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    pool = retrieval.top(retrieval.bm25(_questions(spark, sf_dir), docs).withColumn("score", F.round("bm25", 4)), "score", 20)
+    pool = retrieval.top(retrieval.bm25(_questions(spark, sf_dir), docs).withColumn("score", F.round("bm25", 4)), "score", retrieval.diversity_pool(5))
     return retrieval.diverse(pool.join(docs, "id"), 5, 0.7)
 
 

@@ -4,6 +4,7 @@ import math
 
 import __spark_entry__ as contract
 from engrava.operators import retrieval
+from engrava.plans import retrieval as plans
 from pyspark.sql import functions as F
 
 
@@ -36,6 +37,18 @@ def test_terms_and_diversity(spark):
     assert [r.id for r in retrieval.diverse(pool, 2, 0.5).orderBy("position").collect()] == [1, 3]
 
 
+def test_diversity_pool(spark, monkeypatch):
+    assert [retrieval.diversity_pool(k) for k in (1, 5, 10, 20)] == [20, 25, 50, 60]
+    rows = [(1, i, 1 - i / 1000, "same words here" if i not in (24, 25) else "quite other text" if i == 24 else "zzzz yyyy") for i in range(30)]
+    pool = spark.createDataFrame(rows, "qid bigint, id bigint, score double, text string")
+    assert {0, 24} <= (got := {r.id for r in retrieval.diverse(pool, 5, 0.5).collect()}) and 25 not in got
+    docs = pool.select("id", "text")
+    monkeypatch.setattr(plans, "_documents", lambda *_: docs)
+    monkeypatch.setattr(plans, "_questions", lambda *_: None)
+    monkeypatch.setattr(retrieval, "bm25", lambda *_: pool.select("qid", "id", F.when(F.col("id") == 24, 0.976).otherwise(F.col("score")).alias("bm25")))
+    assert 24 in {r.id for r in plans.q14_diverse(spark, "").collect()}
+
+
 def test_contract():
     queries, sql = contract.queries(), contract.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 40
