@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engrava.llm import neardup, residue
+from engrava.llm import neardup, residue, residue_queries
 from engrava.operators import delivery
 from engrava.plans.delivery import MESSAGE_COLUMNS
-from engrava.session import materialise
+from engrava.session import materialise, small
 from engrava.sources import read_table
 
 
@@ -25,10 +25,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps, members = neardup.representatives(*_texts(spark, sf_dir))
     links = neardup.pairs(reps, kind="chars", size=5, at_least=0.6, weighted=False)
     found = materialise(neardup.expand(links, members).distinct(), "found")
-    # the rows of p1_found take no part; only rows that have a partner need be judged
-    sides = found.where("tbl = 'messages'").select(F.explode(F.array(F.col("id_a").cast("string"), F.col("id_b").cast("string"))).alias("rec_id")).distinct()
-    records = residue.message_records(read_table(spark, sf_dir, "messages", "id", "session_id", "content"))
-    out = materialise(residue.residue_among(records, sides).select(F.lit("messages").alias("tbl"), F.col("rec_id").cast("bigint").alias("gone")), "gone")
+    # the rows of p1_found take no part
+    gone = residue.by_table(residue.residue(residue_queries.records(spark, sf_dir))).where("tbl = 'messages'")
+    out = small(gone.select("tbl", F.col("rec_id").cast("bigint").alias("gone")).distinct())
     for side in ("id_a", "id_b"):
         found = found.join(out.withColumnRenamed("gone", side), ["tbl", side], "left_anti")
     return found.select("tbl", "id_a", "id_b")

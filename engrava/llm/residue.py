@@ -1,8 +1,9 @@
 """Template residue, filler text, error pages and script notices that stand where content should be.
 
-Detectors read each record on its own: how much of it is slots, filler words, error or notice wording, and how many words
-remain beside that. Whole-corpus evidence decides the unclear ones: a low-information response that came from many hosts in
-the same wording, under an address and title that share no term with it.
+Detectors read each record on its own: slots, repeated units, error, notice or filler wording, and how much remains beside
+that. What remains is judged by the corpus: responses repeat the wording of other responses from many hosts, which real
+sentences do not. A record whose remaining words all stand in such shared wording, under an address and title without a
+term of its body, is a response and not content.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engrava.functions.text import INVISIBLE
-from engrava.session import materialise
+from engrava.session import materialise, small
 
-_NAME = r"[\p{L}][\p{L}\p{N}_ .-]{0,40}"
+_NAME = r"[\p{L}][\p{L}\p{N}_ .-]{0,80}"
 #: Forms of an unfilled slot, by the template languages that write them.
 SLOT = (
     rf"(?i)\{{\{{\s*{_NAME}\s*\}}\}}|\{{%\s*{_NAME}\s*%\}}|[$#]\{{\s*{_NAME}\s*\}}|%\({_NAME}\)[sd]?|<<\s*{_NAME}\s*>>|«\s*{_NAME}\s*»"
@@ -24,70 +25,59 @@ _TAGS = r"(?i)(?<!<)</?(?:!doctype|html|head|title|body|h[1-6]|p|div|noscript|br
 #: Markers that cut a text short; they are no slots.
 _CUTS = r"\[(?:truncated|redacted|image|file|audio|video)\]"
 
-# Wording of error and denial pages (lower case).
-_ERROR = (
-    r"\b(?:http(?: status| error)?|error(?: code)?|status(?: code)?|fehler(?:code)?)\s*[:#-]?\s*[45]\d\d\b|错误\s*[45]\d\d",
-    r"^\W*[45]\d\d\b|\b(?:not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|request time-?out|service (?:temporarily )?unavailable|too many requests|internal server error|gone|method not allowed|payment required|conflict)\b(?:\s*\(?[45]\d\d\)?)?",
-    r"\baccess (?:is |was )?denied\b|\bpermission denied\b|\byou (?:do not|don't) have permission\b|\b(?:sign|log) in to (?:view|see|read|continue)\b",
-    r"\bcould not (?:load|open|be served|be found|find)\b|\bcan(?:no|'|’)t (?:find|open|load|reach) (?:that|this|the)\b|\bcan(?:no|'|’)t be (?:reached|found|loaded|opened|displayed|shown)\b|\bapplication error\b|\bexception occurred\b|\bdoes not exist\b|\bno longer available\b|\bsomething went wrong\b|\bdown for maintenance\b|\bdid not answer\b|\bupstream (?:returned|error)\b|\bconnection (?:refused|reset|timed out)\b|\bserver said\b|\bunexpected error\b",
-    r"\bzugriff verweigert\b|\bnicht gefunden\b|\bnicht erreichbar\b|\binterner serverfehler\b|\bkeine berechtigung\b|\bzu viele anfragen\b|\bexistiert nicht\b|\bnicht (?:mehr )?verfügbar\b",
-    r"页面不存在|服务器内部错误|无法打开|访问被拒绝|拒绝访问|没有权限|找不到(?:该|此)?页面|请求过多|服务(?:暂时)?不可用|网关超时|内容已(?:删除|失效)",
-)
-# Notices that scripts or a browser check are required (lower case).
 _SCRIPTS = r"(?:javascript|java script|\bjs\b|\b(?:client-side )?scripts?\b|\bscripting\b|\bskripte?n?\b)"
-_NOTICE = (
-    rf"\b(?:enable|activate|allow|turn on|switch on|turned on|requires?|needs?|relies on|without|works? with|unblock)\b.{{0,30}}{_SCRIPTS}",
-    rf"{_SCRIPTS}.{{0,30}}\b(?:disabled|blocked|off|not available|unavailable|not enabled|required|turned on|enabled|to be on|not supported)\b",
-    rf"\b(?:aktivieren|ohne|benötigt|erlauben|einschalten|deaktiviert)\b.{{0,30}}{_SCRIPTS}|{_SCRIPTS}.{{0,30}}\b(?:aktivieren|deaktiviert|benötigt|erforderlich|erlauben|blockiert)\b",
-    r"(?:启用|开启|允许|打开|需要|禁用|关闭).{0,8}(?:javascript|js|脚本)|(?:javascript|js|脚本).{0,8}(?:禁用|关闭|未启用|未开启|不可用)",
-    r"\bchecking (?:if )?(?:your|the) browser\b|\bverify(?:ing)? (?:that )?you are (?:a )?human\b|\bbrowser (?:is )?(?:being )?checked\b|\bbrowser wird (?:über)?geprüft\b|正在检查(?:您的)?浏览器|浏览器安全检查",
-)
-# Filler and sample wording (lower case).
-_FILLER = (
-    r"\blorem\b|\bplace ?holder\b|\bdummy\b|\buntitled\b|\breplace (?:me|later|this)\b|\bgoes here\b|\bsample (?:text|paragraph|entry|content|sentence|title|note)\b|\bexample (?:text|entry|content|paragraph|sentence)\b|\b(?:sample|example|default|dummy) [a-z]+ \d+\b|\breplace (?:this|these|the) (?:text|sentence|words|paragraph)\b|\bdefault (?:text|title|caption|bullet|paragraph|heading|note|summary|content|entry|quote|label)\b",
-    r"\binsert\b.{0,40}\bhere\b|\binsert\b.{0,40}\bbox\b|\bto be (?:written|supplied|filled|added|completed)\b|\bfilled in later\b|\bcoming soon\b|\byour text\b|\btext here\b|\btbd\b|\btodo\b|\bnothing to see\b|\bfor layout only\b",
-    r"\bfülltext\b|\bplatzhalter\b|\bblindtext\b|\bbeispieltext\b|\bmustertext\b|\bhier (?:steht|kommt)\b.{0,20}\btext\b",
-    r"示例文本|占位|内容待补充|待补充|此处填写|请在此(?:处)?填写|请输入|测试文本|样例文字|示例内容|暂无内容",
+_CJK_SCRIPTS = ("javascript", "js", "脚本")
+# Wording of error and denial pages, of notices that scripts or a browser check are required, and of filler and
+# sample text (lower case). Each pattern follows its marks: of every group one must occur, a cheap test before the pattern.
+_WORDING = (
+    ((("http", "error", "status", "fehler", "错误"),), r"\b(?:http(?: status| error)?|error(?: code)?|status(?: code)?|fehler(?:code)?)\s*[:#-]?\s*[45]\d\d\b|错误\s*[45]\d\d"),
+    ((), r"^[^\p{L}\p{N}]*[45]\d\d\b"),
+    (
+        (("not found", "forbidden", "unauthorized", "bad request", "bad gateway", "gateway time", "request time", "unavailable", "too many requests", "server error", "gone", "not allowed", "payment required", "conflict"),),
+        r"\b(?:not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|request time-?out|service (?:temporarily )?unavailable|too many requests|internal server error|gone|method not allowed|payment required|conflict)\b(?:\s*\(?[45]\d\d\)?)?",
+    ),
+    ((("denied", "have permission", "sign in", "log in"),), r"\baccess (?:is |was )?denied\b|\bpermission denied\b|\byou (?:do not|don't) have permission\b|\b(?:sign|log) in to (?:view|see|read|continue)\b"),
+    (
+        (("could not", "cannot ", "can't ", "can’t ", "application error", "exception occurred", "does not exist", "no longer available", "went wrong", "for maintenance", "did not answer", "try again later", "upstream ", "connection ", "server said", "unexpected error"),),
+        r"\bcould not (?:load|open|be served|be found|find)\b|\bcan(?:no|'|’)t (?:find|open|load|reach) (?:that|this|the)\b|\bcan(?:no|'|’)t be (?:reached|found|loaded|opened|displayed|shown)\b|\bapplication error\b|\bexception occurred\b|\bdoes not exist\b|\bno longer available\b|\bsomething went wrong\b|\bdown for maintenance\b"
+        r"|\bdid not answer\b|\b(?:please )?try again later\b|\bupstream (?:returned|error)\b|\bconnection (?:refused|reset|timed out)\b|\bserver said\b|\bunexpected error\b",
+    ),
+    ((("zugriff", "nicht ", "serverfehler", "berechtigung", "viele anfragen"),), r"\bzugriff verweigert\b|\bnicht gefunden\b|\bnicht erreichbar\b|\binterner serverfehler\b|\bkeine berechtigung\b|\bzu viele anfragen\b|\bexistiert nicht\b|\bnicht (?:mehr )?verfügbar\b"),
+    (
+        (("页面", "服务器", "无法", "访问", "没有权限", "请求过多", "不可用", "网关超时", "内容已"),),
+        r"页面不存在|服务器内部错误|无法(?:打开|显示)|访问被拒绝|拒绝访问|没有权限|找不到(?:该|此)?页面|请求过多|服务(?:暂时)?不可用|网关超时|访问过于频繁|内容已被?(?:删除|失效)",
+    ),
+    ((("script", "js", "skript"), ("enable", "activat", "allow", "turn", "switch", "requir", "need", "relies", "without", "work", "unblock")), rf"\b(?:enable|activate|allow|turn on|switch on|turned on|requires?|needs?|relies on|without|works? with|unblock)\b.{{0,30}}{_SCRIPTS}"),
+    (
+        (("script", "js"), ("disabled", "blocked", "off", "available", "enabled", "required", "turned on", "to be on", "supported")),
+        rf"{_SCRIPTS}.{{0,30}}\b(?:disabled|blocked|off|not available|unavailable|not enabled|required|turned on|enabled|to be on|not supported)\b",
+    ),
+    ((("script", "js", "skript"), ("aktivier", "ohne", "benötigt", "erlauben", "einschalten", "deaktiviert", "erforderlich", "blockiert")), rf"\b(?:aktivieren|ohne|benötigt|erlauben|einschalten|deaktiviert)\b.{{0,30}}{_SCRIPTS}|{_SCRIPTS}.{{0,30}}\b(?:aktivieren|deaktiviert|benötigt|erforderlich|erlauben|blockiert)\b"),
+    (
+        (_CJK_SCRIPTS, ("启用", "开启", "允许", "打开", "需要", "禁用", "关闭", "不可用")),
+        r"浏览器.{0,4}(?:启用|开启).{0,4}(?:javascript|js|脚本)|(?:启用|开启|允许|打开|需要|禁用|关闭).{0,8}(?:javascript|js|脚本)|(?:javascript|js|脚本).{0,8}(?:禁用|关闭|未启用|未开启|不可用)",
+    ),
+    ((("browser", "you are ", "浏览器"),), r"\bchecking (?:if )?(?:your|the) browser\b|\bverify(?:ing)? (?:that )?you are (?:a )?human\b|\bbrowser (?:is )?(?:being )?checked\b|\bbrowser wird (?:über)?geprüft\b|正在检查(?:您的)?浏览器|浏览器安全检查"),
+    (
+        (("lorem", "place", "dummy", "untitled", "replace ", "goes here", "sample ", "example ", "default "),),
+        r"\blorem\b|\bplace ?holder\b|\bdummy\b|\buntitled\b|\breplace (?:me|later|this)\b|\bgoes here\b|\bsample (?:text|paragraph|entry|content|sentence|title|note)\b|\bexample (?:text|entry|content|paragraph|sentence)\b|\b(?:sample|example|default|dummy) [a-z]+ \d+\b|\breplace (?:this|these|the) (?:text|sentence|words|paragraph)\b|\bdefault (?:text|title|caption|bullet|paragraph|heading|note|summary|content|entry|quote|label)\b",
+    ),
+    (
+        (("insert ", "to be ", "later", "coming soon", "text", "your content", "tbd", "todo", "nothing to see", "layout only"),),
+        r"\binsert\b.{0,40}\bhere\b|\binsert\b.{0,40}\bbox\b|\bto be (?:written|supplied|filled|added|completed)\b|\bfilled in later\b|\bcoming soon\b|\byour (?:text|content)\b|\btext here\b|\btbd\b|\btodo\b|\bnothing to see\b|\bfor layout only\b",
+    ),
+    ((("text",),), r"\bfülltext\b|\bplatzhalter\b|\bblindtext\b|\bbeispieltext\b|\bmustertext\b|\bhier (?:steht|kommt)\b.{0,20}\btext\b"),
+    ((("platzhalter",),), r"\bplatzhalter\b"),
+    ((("示例", "占位", "待补充", "填写", "请输入", "测试文本", "样例", "暂无"),), r"示例文本|占位|内容待补充|待补充|此处填写|请在此(?:处)?填写|请输入|测试文本|样例文字|示例内容|暂无内容"),
 )
-# Words that belong to such pages and carry nothing of their own (lower case).
-CHROME_WORDS = (
-    "a about above access accessed administrator contact exception occurred crashed failed failure fatal own words heading summary text occurs has have activate activated address after again against all allow allowed allowing an and any app application are article as ask asked at available away back bad "
-    "be been before blocked box browser browsers but by can can't cannot caption change check checking client client-side code come coming conflict connection contact content continue conversation copy "
-    "could default denied detected detect did didn't disabled dismiss displayed do does doesn't don't down dummy due during enable enabled encountered entry error example exist expired features feature few field filler find "
-    "first for forbidden found from further gateway go goes gone has have heading here home html http https id if in incident information insert internal into is it its javascript js later layout link list load loaded loading log login "
-    "longer lorem ipsum maintenance may me memory message method mistyped moment more moved must need needed needs next no not note nothing now of off old on only oops open opened or our out owner page paragraph path payment "
-    "permission permitted please powered previous problem lasts last proceed processed provided quote read reached ray ref reference refresh refused relies reload replace request requested required requires resource response retry return returned "
-    "said sample script scripting scripts search seconds see seems sentence served server service set settings shown show sign site so some something sorry spelling started status still summary supplied supported support switch take tell temporarily temporary text than that the "
-    "them then there this time timed timeout title to too trace traceback try turn turned unauthorized unavailable under unexpected unknown untitled up upstream url us use used user using verify view viewed viewer viewing visit was we webfront went were "
-    "what when which while will with without work works working wrong written you your been looks like we've i'm it's we're author published publishing yet bullet label body bytes nginx apache cloudflare answer many requests cookies human "
-    "aktivieren steht blindtext beispieltext mustertext kommt aktivierte aktiviert anfrage anfragen angezeigt angeforderte anwendung auf aussage bitte browser das dass den der deren des die dienst dies diese dieser dieses ein eine einen erlauben erneut erreichbar es existiert fehler folgt fortzufahren für füllen fülltext geladen geöffnet gefunden hier ihr ihre "
-    "ihrem im inhalt interner ist ist kann keine können laden mit muss nicht noch nur nutzen oder ohne platzhalter seite seiten server serverfehler sie sind skript skripte skripten später um und verfügbar versuchen verweigert von war wird wurde wurden zu zugriff zum zurzeit text einstellungen benötigt aktivierung"
-).split()
+# The vocabulary of the Latin filler text (lower case).
 LOREM_WORDS = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
     "duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
-# Chinese wording of such pages, taken away before the rest is counted.
-_CHROME_CJK = "占位文字|文字|这里|这儿|替换|稍后|需要|允许|启用|开启|打开|脚本|功能|才能|查看|浏览器|浏览|使用|继续|本页|该页|此页|页面|该应用|应用|内容|您的|你的|我们|尚未|未|无法|显示|请|刷新|之后|后|会话|不存在|服务器|服务|内部|错误|稍后|再试|重试|访问|被|拒绝|没有|权限|找不到|该|此|处|填写|示例|文本|待补充|占位|出错了|超时|网关|检查|正在|安全|链接|已|失效|删除|暂时|不可用|过多|请求|返回|首页|登录|以|可能|需|先|的|在|里|中|才|能|并|再|到|了"
-
-
-#: Up to so many anchor words of unclear rows the corpus is searched for them before it is judged.
-ANCHORS = 200
-
-
-def _any(patterns: tuple[str, ...]) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
-
-
-_HINT = _any((*_ERROR, *_NOTICE, *_FILLER))
-#: Parts of which every slot or hint holds at least one: a cheap test before the patterns.
+_HINT = "|".join(f"(?:{pattern})" for _, pattern in _WORDING)
+#: Parts of which every slot holds at least one: a cheap test before the pattern.
 _SLOT_MARKS = ("{", "%", "<", "«", "@@", "__", "[", "(insert ", "(enter ", "(your ")
-_HINT_MARKS = (
-    "script,java,js,skript,脚本,browser,浏览器,you are ,error,fehler,错误,http,status,code,found,forbidden,unauthorized,bad request,bad gateway,time,unavailable,too many,internal server,gone,not allowed,payment,conflict,denied,"
-    "permission,sign in,log in,could not,cannot ,can't ,cant ,does not,no longer,went wrong,maintenance,not answer,upstream,connection ,server ,zugriff,nicht,keine ,viele anfragen,页面,服务,打开,访问,权限,请求过多,网关超时,内容已,"
-    "lorem,place,dummy,untitled,replace,goes here,sample,example,default,insert,to be ,later,coming soon,your text,text here,tbd,todo,nothing to see,layout only,text,platzhalter,占位,待补充,填写,请输入,测试文本,样例,示例,暂无"
-).split(",")
-_NOT_WORD = r"[^\p{L}\p{N}]"
 
 
 def _let(value: Column, use) -> Column:
@@ -114,6 +104,21 @@ def _words(low: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(r"([a-zß-öø-ÿ]+(?:['’-][a-zß-öø-ÿ]+)*)"), 1)
 
 
+def _pieces(low: Column) -> Column:
+    """Words and numbers of lower-case text, and single ideographs."""
+    return F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FFF}]|[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]+)"), 1)
+
+
+def _tokens(low: Column) -> Column:
+    """Alphabetic words and single ideographs of lower-case text, in order."""
+    return F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FFF}]|[a-zß-öø-ÿ]+(?:['’-][a-zß-öø-ÿ]+)*)"), 1)
+
+
+def _grams(tokens: Column) -> Column:
+    """Pairs of neighbouring tokens."""
+    return F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _ideographs(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\x{4E00}-\x{9FFF}]+", ""))
 
@@ -123,128 +128,129 @@ def _without_references(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)https?://\S+|(?<![\p{L}\p{N}])/[^\s.,<>\"]*|\b(?:ref|ray|trace|request|error id|incident|id)\b[ :#]*[0-9a-f-]*\d[0-9a-f-]*|\bquote [a-z0-9-]+(?=\W*$|[.,]? |$)|\b[0-9a-f]*\d[0-9a-f]*\b|\d+", " ")
 
 
+#: A unit of at most so many words or ideographs, repeated, is filler; a longer passage that repeats is not.
+LONGEST_UNIT = 12
+
+
+def _repeats(pieces: Column) -> Column:
+    """Whether the pieces are one unit over and over: four times a single word, three times a longer unit, twice three ideographs or more."""
+
+    def at(p: Column, u: Column) -> Column:
+        rest = F.size(p) - u
+        often = F.when(u == 1, 4).when((u >= 3) & F.forall(F.slice(p, 1, u), lambda x: x.rlike(r"^[\x{4E00}-\x{9FFF}]$")), 2).otherwise(3)
+        return F.when(F.size(p) >= often * u, F.slice(p, 1, rest) == F.slice(p, u + 1, rest)).otherwise(F.lit(False))
+
+    def stutters(w: Column) -> Column:
+        """A word of one to six letters over and over, the last time perhaps cut."""
+        return F.exists(F.sequence(F.lit(1), F.lit(6)), lambda u: (F.length(w) >= 4 * u) & (w == F.substring(F.repeat(F.substring(w, F.lit(1), u), F.ceil(F.length(w) / u).cast("int")), F.lit(1), F.length(w))))
+
+    few = F.size(F.array_distinct(F.slice(pieces, 1, 3 * LONGEST_UNIT + 1))) <= LONGEST_UNIT + 1
+    units = F.sequence(F.lit(1), F.lit(LONGEST_UNIT))
+    return few & ((F.size(pieces) > 1) & F.exists(units, lambda u: at(pieces, u)) | F.forall(pieces, stutters) & (F.size(pieces) > 0))
+
+
 def _is_filler(low: Column) -> Column:
-    """Filler vocabulary, one unit repeated, or keyboard rows, in lower-case text with single spaces."""
+    """Filler vocabulary, one unit repeated, or keyboard rows, in lower-case text with single spaces; the same tests at every length."""
     lorem = F.array(*[F.lit(w) for w in sorted(set(LOREM_WORDS))])
     some_lorem = low.rlike(r"\b(?:" + "|".join(sorted(set(LOREM_WORDS) - {"in", "do", "id", "ad", "et", "ex", "ea", "ut", "est", "anim", "sit", "sed", "non", "eu", "qui", "duis", "sint", "quis", "elit", "esse", "enim"})) + r")\b")
     lorem_share = _let(F.filter(_words(low), lambda x: F.length(x) > 1), lambda w: (F.size(w) >= 3) & (F.size(F.filter(w, lambda x: F.array_contains(lorem, x))) >= 0.8 * F.size(w)))
-    short = F.length(low) <= 4000  # repetition beyond that is measured by distinct words
-    repeated = low.rlike(rf"^{_NOT_WORD}*([\p{{L}}\p{{N}}][\p{{L}}\p{{N}} .,;:_-]{{0,24}}?)(?:{_NOT_WORD}*\1){{3,}}\p{{L}}{{0,6}}{_NOT_WORD}*$")
-    repeated_cjk = low.rlike(rf"^{_NOT_WORD}*([\x{{4E00}}-\x{{9FFF}}]{{3,12}})(?:{_NOT_WORD}*\1)+{_NOT_WORD}*$")
-    sentence = low.rlike(r"^(\p{L}[\p{L} ]{6,40}[.!])(?: ?\1){2,}$")
-    mash = low.rlike(r"^[asdfghjklqwe]{2,8}(?: [asdfghjklqwe]{2,8}){2,}(?: [0-9a-f]*\d[0-9a-f]*)?$")
-    monotone = ~short & _let(_words(low), lambda w: (F.size(w) > 100) & (F.size(F.array_distinct(w)) <= 4))
-    return monotone | (some_lorem & lorem_share) | (short & (repeated | repeated_cjk | sentence | mash))
-
-
-def _marked(low: Column) -> Column:
-    """Whether a slot or hint can be in the lower-case text."""
-    out = low.rlike(r"^[^\p{L}\p{N}]*[45]\d\d\b")
-    for mark in (*_SLOT_MARKS, *_HINT_MARKS):
-        out = out | F.contains(low, F.lit(mark))
+    plain_end = F.regexp_replace(low, r" [0-9a-f]*\d[0-9a-f]*$", "")
+    mash = low.rlike("^[asdfghjklqwe]{2,8} [asdfghjklqwe]{2,8} ") & _let(F.split(plain_end, " "), lambda w: (F.size(w) > 2) & F.forall(w, lambda x: x.rlike("^[asdfghjklqwe]{2,8}$")))
+    return _let(_pieces(plain_end), _repeats) | (some_lorem & lorem_share) | mash
+
+
+def _contains_any(text: Column, parts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for part in parts:
+        out = out | F.contains(text, F.lit(part))
     return out
 
 
-def _sparse(low: Column) -> Column:
-    """Whether so few words are not of the page kind that the rest can be markup, slots and references: texts with more of them hold real sentences."""
-    chrome = F.array(*[F.lit(w) for w in sorted(set(CHROME_WORDS))])
-    marks = F.length(low) - F.length(F.translate(low, "{}%<>«»@_[]()/#", ""))
-    return F.size(F.array_except(_words(low), chrome)) + 0.25 * _ideographs(low) <= 10 + 1.5 * marks
+def _hinted(low: Column) -> Column:
+    """Whether such wording is in the lower-case text; patterns run only where their marks are."""
+    out = F.lit(False)
+    for marks, pattern in _WORDING:
+        there = low.rlike(pattern)
+        for group in reversed(marks):
+            there = _contains_any(low, group) & there
+        out = out | there
+    return out
 
 
-def _judge(content: Column, rest_at_most: float) -> Column:
-    """Row-local evidence as a struct: ``slots``, ``slot_rest`` (words beside slots), ``filler``, ``hint``, ``rest`` (words not of the page kind), ``units``."""
-    chrome = F.array(*[F.lit(w) for w in sorted(set(CHROME_WORDS))])
+def _judge(content: Column) -> Column:
+    """Row-local evidence as a struct: ``slots``, ``slot_rest`` (words beside slots), ``hint``, ``hint_rest`` (words beside hints) and, where there is a hint, the masked ``tokens``."""
 
     def of_plain(plain: Column) -> Column:
         low = F.lower(plain)
         beside = F.lower(_without_references(F.regexp_replace(plain, SLOT, " ")))
-        referenced = _without_references(low)
-        rest = F.size(F.array_except(_words(referenced), chrome)) + 0.5 * _ideographs(F.regexp_replace(referenced, _CHROME_CJK, ""))
-        return F.struct(
-            F.size(F.regexp_extract_all(plain, F.lit(f"({SLOT})".replace("((?i)", "(?i)(")), 1)).alias("slots"),
-            (F.size(_words(beside)) + 0.5 * _ideographs(beside)).alias("slot_rest"),
-            _let(rest, lambda r: F.struct(r.alias("rest"), F.when(r <= rest_at_most, low.rlike(_HINT)).otherwise(False).alias("hint"))).alias("beside"),
-            (F.size(_words(low)) + 0.5 * _ideographs(low)).alias("units"),
-        )
+        slots = F.when(_contains_any(low, _SLOT_MARKS), F.size(F.regexp_extract_all(plain, F.lit(f"({SLOT})".replace("((?i)", "(?i)(")), 1))).otherwise(0)
+        others = _without_references(F.regexp_replace(low, _HINT, " "))
+        local = lambda n, hint: F.struct(n.alias("slots"), F.when(n > 0, F.size(_words(beside)) + 0.5 * _ideographs(beside)).alias("slot_rest"), hint.alias("hint"), F.when(hint, F.size(_words(others)) + 0.5 * _ideographs(others)).alias("hint_rest"), F.when(hint, _tokens(_without_references(low))).alias("tokens"))
+        return _let(slots, lambda n: _let(_hinted(low), lambda hint: local(n, hint)))
 
     return _let(_plain(content), of_plain)
 
 
-def _wording(content: Column) -> Column:
-    return F.trim(F.regexp_replace(_without_references(F.lower(F.regexp_replace(_plain(content), SLOT, "{}"))), rf"{_NOT_WORD}+", " "))
-
-
-def _mask(content: Column) -> Column:
-    """The wording of a record with slots, paths, numbers and codes masked: what equal responses have in common."""
-    return F.md5(_wording(content))
-
-
-def _anchor(content: Column) -> Column:
-    """The longest word of the masked wording: every record of equal wording holds it."""
-    longest = F.array_sort(F.transform(F.split(_wording(content), " "), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return F.element_at(longest, 1)["w"]
-
-
 def _terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}]{3,})"), 1)
 
 
-def _judged(records: DataFrame, slot_words: float, words_per_slot: float, rest_words: float, weak_rest: float) -> DataFrame:
-    """The few rows that are residue by themselves (``kind``) or unclear (``mask``), written once, so that the texts are judged once."""
+def _seen(records: DataFrame, slot_words: float, words_per_slot: float, rest_words: float) -> DataFrame:
+    """The few rows with slots, filler or such wording, written once: ``kind`` where the detectors are sure, the masked ``tokens`` where there is wording, and whether address and title ``mismatch`` the body."""
     low = F.lower(_spaced(F.col("content")))
     # 0: nothing to see, 1: to be judged, 2: filler
-    look = _let(low, lambda t: F.when(_is_filler(t), 2).when(_marked(t) & _sparse(t), 1).otherwise(0))
+    look = _let(low, lambda t: F.when(_is_filler(t), 2).when(_contains_any(t, _SLOT_MARKS) | _hinted(t), 1).otherwise(0))
     rows = records.select("rec_id", "host", "address", "title", "content").where(F.col("content").isNotNull())
-    seen = _with(_with(rows, "look", look).where("look > 0"), "d", F.when(F.col("look") == 1, _judge(F.col("content"), max(rest_words, weak_rest))))
-    seen = seen.select("rec_id", "host", "address", "title", "content", "look", "d.slots", "d.slot_rest", "d.units", "d.beside.rest", "d.beside.hint")
-    template = (F.col("slots") > 0) & (F.col("slot_rest") <= slot_words + words_per_slot * F.col("slots"))
-    sure = F.when(F.col("look") == 2, "filler").when(template, "template").when(F.col("hint") & (F.col("rest") <= rest_words), "error")
-    judged = seen.withColumn("kind", sure)
-    open_case = F.col("kind").isNull() & F.col("hint") & (F.col("rest") <= weak_rest) & (F.col("rest") <= 0.5 * F.col("units"))
-    title_says_nothing = F.col("title").isNull() | F.col("content").startswith(F.col("title"))
-    mismatch = title_says_nothing | ~F.arrays_overlap(_terms(F.concat_ws(" ", "address", "title")), _terms(F.col("content")))
-    return materialise(
-        judged.where(F.col("kind").isNotNull() | open_case).select("rec_id", "host", "kind", F.when(F.col("kind").isNull() & mismatch, _mask(F.col("content"))).alias("mask"), F.when(F.col("kind").isNull(), _anchor(F.col("content"))).alias("anchor")),
-        "residue",
-    )
-
-
-def residue(records: DataFrame, *, slot_words: float = 3.0, words_per_slot: float = 2.4, rest_words: float = 1.5, weak_rest: float = 5.0, hosts: int = 4) -> DataFrame:
+    seen = _with(_with(rows, "look", look).where("look > 0"), "d", F.when(F.col("look") == 1, _judge(F.col("content"))))
+    template = (F.col("d.slots") > 0) & (F.col("d.slot_rest") <= slot_words + words_per_slot * F.col("d.slots"))
+    kind = F.when(F.col("look") == 2, "filler").when(template, "template").when(F.col("d.hint") & (F.col("d.hint_rest") <= rest_words), "error")
+    # a title that only repeats the beginning of the body says nothing about it
+    told = F.when(F.col("title").isNull() | F.col("content").startswith(F.col("title")), F.lit("")).otherwise(F.col("title"))
+    mismatch = ~F.arrays_overlap(_terms(F.concat_ws(" ", "address", told)), _terms(F.col("content")))
+    seen = seen.where((F.col("look") == 2) | template | F.col("d.hint"))
+    return materialise(seen.select(F.monotonically_increasing_id().alias("row"), "rec_id", "host", kind.alias("kind"), F.coalesce(mismatch, F.lit(True)).alias("mismatch"), F.col("d.tokens").alias("tokens")), "residue")
+
+
+def shared_wording(records: DataFrame, seen: DataFrame, hosts: int, share: float) -> DataFrame:
+    """The pairs of neighbouring words (``gram``) that belong to responses: they came with such wording from at least ``hosts`` hosts, and at least ``share`` of all their occurrences in the corpus did."""
+    there = seen.where("tokens IS NOT NULL").select("host", F.explode(_grams(F.col("tokens"))).alias("gram")).groupBy("gram", "host").agg(F.count("*").alias("n"))
+    many = materialise(there.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("n_hosts")).where(F.col("n_hosts") >= hosts).select("gram", "n"), "wording")
+    spread = records.where("content IS NOT NULL").select(F.explode(_grams(_tokens(F.lower("content")))).alias("gram"))
+    everywhere = spread.join(small(many.select("gram")), "gram").groupBy("gram").agg(F.count("*").alias("n_all"))
+    return many.join(everywhere, "gram", "left").where(F.col("n") >= share * F.greatest(F.col("n"), F.coalesce("n_all", F.lit(0)))).select("gram")
+
+
+def evidence(records: DataFrame, *, slot_words: float = 3.0, words_per_slot: float = 2.4, rest_words: float = 3.0, hosts: int = 3, share: float = 0.5) -> DataFrame:
+    """Residue with what decided on it: ``rec_id``, ``kind`` and ``decided_by`` (``slots``, ``filler``, ``wording`` or ``corpus``); see ``residue``."""
+    seen = _seen(records, slot_words, words_per_slot, rest_words)
+    unclear = seen.where("kind IS NULL AND mismatch AND tokens IS NOT NULL")
+    wording = materialise(shared_wording(records, seen, hosts, share), "shared")
+    pairs = unclear.select("row", F.posexplode(_grams(F.col("tokens"))).alias("at", "gram")).join(small(wording), "gram")
+    explained = pairs.select("row", F.explode(F.array("at", F.col("at") + 1)).alias("at")).distinct().groupBy("row").agg(F.collect_set("at").alias("explained"))
+    left = F.array_distinct(F.filter("tokens", lambda token, i: ~F.array_contains("explained", i)))
+    rest = F.aggregate(left, F.lit(0.0), lambda total, token: total + F.when(token.rlike(r"^[\x{4E00}-\x{9FFF}]$"), 0.5).otherwise(1.0))
+    by_corpus = unclear.join(explained, "row").where(rest <= rest_words).select("rec_id", F.lit("error").alias("kind"), F.lit("corpus").alias("decided_by"))
+    decided_by = F.when(F.col("kind") == "template", "slots").when(F.col("kind") == "filler", "filler").otherwise("wording")
+    return seen.where("kind IS NOT NULL").select("rec_id", "kind", decided_by.alias("decided_by")).unionByName(by_corpus)
+
+
+def residue(records: DataFrame, **thresholds) -> DataFrame:
     """Records whose content stands for missing real content.
 
-    ``records`` needs ``rec_id``, ``host`` (who sent it), ``address`` (path or slug), ``title`` and ``content``; further
-    columns are not read. Result: ``rec_id`` and ``kind`` (``template``, ``filler``, ``error``).
+    ``records`` needs ``rec_id``, ``host`` (who sent it), ``address`` (path or slug; null where there is none), ``title`` and
+    ``content``; further columns are not read. Result: ``rec_id`` and ``kind`` (``template``, ``filler``, ``error``).
 
     * template: the words beside the slots are at most ``slot_words + words_per_slot`` times the slots;
-    * filler: filler vocabulary, one unit repeated, or keyboard rows;
-    * error (pages, notices, sample wording): such wording occurs and at most ``rest_words`` other words remain. With up to
-      ``weak_rest`` other words, and these under half of the text, the corpus decides: the same masked wording must have come
-      from at least ``hosts`` hosts under an address and title with no term in the body.
-
-    Null, empty and blank content is never residue. Very long texts are read whole. Repeated rows are judged one by one.
+    * filler: filler vocabulary, one short unit repeated (``LONGEST_UNIT``), or keyboard rows;
+    * error (pages, notices, sample wording): such wording occurs and at most ``rest_words`` words remain beside it. Else the
+      corpus decides: at most ``rest_words`` distinct words stand outside wording that such records share from at least
+      ``hosts`` hosts and that has at least ``share`` of its occurrences in them; and no term of the address and title is in
+      the body.
+
+    Null, empty and blank content is never residue. Texts of any length are read whole, by the same tests. Repeated rows are
+    judged one by one. An empty table gives an empty result.
     """
-    judged = _judged(records, slot_words, words_per_slot, rest_words, weak_rest)
-    unclear = judged.where(F.col("kind").isNull() & F.col("mask").isNotNull())
-    many = unclear.groupBy("mask").agg(F.countDistinct("host").alias("n_hosts")).where(F.col("n_hosts") >= hosts).select("mask")
-    by_corpus = unclear.join(many, "mask", "left_semi").select("rec_id", F.lit("error").alias("kind"))
-    return judged.where(F.col("kind").isNotNull()).select("rec_id", "kind").unionByName(by_corpus)
-
-
-def residue_among(records: DataFrame, few: DataFrame) -> DataFrame:
-    """The ``rec_id`` of ``few`` that ``residue(records)`` holds, judging only these rows as long as all of them are clear."""
-    own = records.join(few.select("rec_id").distinct(), "rec_id", "left_semi")
-    judged = _judged(own, 3.0, 2.4, 1.5, 5.0)
-    sure = judged.where("kind IS NOT NULL").select("rec_id")
-    anchors = [r.anchor for r in judged.where("kind IS NULL AND mask IS NOT NULL").select("anchor").distinct().limit(ANCHORS + 1).collect()]
-    if not anchors:
-        return sure
-    # the corpus decides on the rest: only records that hold an anchor can have the same wording
-    like = records
-    if len(anchors) <= ANCHORS and all(anchors):
-        text = F.lower(F.col("content"))
-        like = records.where(F.exists(F.array(*[F.lit(w) for w in anchors]), lambda w: F.contains(text, w)))
-    return sure.unionByName(residue(like).select("rec_id").join(few.select("rec_id").distinct(), "rec_id", "left_semi")).distinct()
+    return evidence(records, **thresholds).select("rec_id", "kind")
 
 
 def exclude_residue(records: DataFrame) -> DataFrame:
@@ -254,22 +260,38 @@ def exclude_residue(records: DataFrame) -> DataFrame:
 
 
 def message_records(messages: DataFrame) -> DataFrame:
-    """Messages as records: the client and agent are the host, the session is the address."""
+    """Messages as records: the agent and client are the host, or the session where they are not given. Messages have no address or title that tells of their content."""
+    told = F.concat_ws("/", F.get_json_object("metadata", "$.agent"), F.get_json_object("metadata", "$.client"))
     return messages.select(
         F.col("id").cast("string").alias("rec_id"),
-        F.coalesce(F.col("session_id"), F.lit("")).alias("host"),
-        F.coalesce(F.col("session_id"), F.lit("")).alias("address"),
+        F.coalesce(F.nullif(told, F.lit("")), F.col("session_id"), F.lit("")).alias("host"),
+        F.lit(None).cast("string").alias("address"),
         F.lit(None).cast("string").alias("title"),
         "content",
     )
 
 
 def candidate_records(candidates: DataFrame) -> DataFrame:
-    """Review candidates as records: the source folder is the host, the path the address, the summary the title."""
+    """Review candidates as records: agent and source folder are the host, the file name is the address, the summary the title."""
+    folder = F.regexp_extract(F.coalesce("source_path", F.lit("")), r"^(.*)/", 1)
     return candidates.select(
         F.col("id").alias("rec_id"),
-        F.coalesce(F.regexp_extract("source_path", r"^(.*)/", 1), F.lit("")).alias("host"),
-        F.coalesce(F.regexp_extract("source_path", r"([^/]*)$", 1), F.lit("")).alias("address"),
+        F.concat_ws("/", F.get_json_object("metadata", "$.agent"), folder).alias("host"),
+        F.regexp_extract(F.coalesce("source_path", F.lit("")), r"([^/]*?)(?:\.[a-z]+)?$", 1).alias("address"),
         F.col("summary").alias("title"),
         "content",
     )
+
+
+def together(tables: dict[str, DataFrame]) -> DataFrame:
+    """The records of several tables as one corpus, ``rec_id`` headed by the table's name and a bar."""
+    out = None
+    for name, records in tables.items():
+        one = records.withColumn("rec_id", F.concat(F.lit(f"{name}|"), "rec_id"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def by_table(found: DataFrame) -> DataFrame:
+    """``found`` with ``tbl`` and the plain ``rec_id``; the inverse of ``together``. Rows without an id are left out."""
+    return found.where("rec_id IS NOT NULL").withColumns({"tbl": F.expr("substring_index(rec_id, '|', 1)"), "rec_id": F.expr("substring(rec_id, instr(rec_id, '|') + 1)")})

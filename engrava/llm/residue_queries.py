@@ -9,23 +9,29 @@ from engrava.llm import residue
 from engrava.sources import read_table
 
 
-def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "messages": residue.message_records(read_table(spark, sf_dir, "messages", "id", "session_id", "content")),
-        "candidates": residue.candidate_records(read_table(spark, sf_dir, "candidates", "id", "source_path", "summary", "content")),
-    }
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and candidates as one corpus."""
+    return residue.together(
+        {
+            "messages": residue.message_records(read_table(spark, sf_dir, "messages", "id", "session_id", "metadata", "content")),
+            "candidates": residue.candidate_records(read_table(spark, sf_dir, "candidates", "id", "source_path", "summary", "metadata", "content")),
+        }
+    )
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [residue.residue(r).select(F.lit(t).alias("tbl"), "rec_id") for t, r in _records(spark, sf_dir).items()]
-    return found[0].unionByName(found[1]).distinct()
+    return residue.by_table(residue.residue(records(spark, sf_dir))).select("tbl", "rec_id").distinct()
 
 
 def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many distinct records of each table are residue, by kind."""
-    found = [residue.residue(r).select(F.lit(t).alias("tbl"), "rec_id", "kind") for t, r in _records(spark, sf_dir).items()]
-    return found[0].unionByName(found[1]).distinct().groupBy("tbl", "kind").agg(F.count("*").alias("n_records"))
+    return residue.by_table(residue.residue(records(spark, sf_dir))).distinct().groupBy("tbl", "kind").agg(F.count("*").alias("n_records"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds}
+def p1_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many distinct records of each table are residue, by what decided on them."""
+    return residue.by_table(residue.evidence(records(spark, sf_dir))).distinct().groupBy("tbl", "decided_by").agg(F.count("*").alias("n_records"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p1_evidence": p1_evidence}
 ORACLE: dict[str, str] = {}

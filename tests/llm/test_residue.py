@@ -48,3 +48,29 @@ def test_exclusion_keeps_columns_and_rows(spark):
 
 def test_empty_table(spark):
     assert residue.residue(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+LONG = {
+    "filler": ["The quick system works fine. " * 100, "The quick system works fine. " * 3000, "示例文本内容待补充" * 100, "示例文本内容待补充" * 6000, "测试测试测试" * 900, "x" * 50000, "asdf" * 4000, "foo bar " * 20000 + "foo"],
+    None: ["no no no", "ok ok", "He said that that was all.", "数据 一 二 三 四 五 六 七 八 九 十 一 二 三", "".join(f"line {i} was read by reader {i * 7}. " for i in range(3000))],
+}
+
+
+def test_repetition_is_found_at_every_length(spark):
+    rows = [(f"{k}{i}", "h", None, None, t, 1) for k, ts in LONG.items() for i, t in enumerate(ts)]
+    got = {r.rec_id: r.kind for r in residue.residue(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {f"filler{i}": "filler" for i in range(len(LONG["filler"]))}
+
+
+def test_corpus_decides_by_shared_wording_hosts_and_address(spark):
+    page = "Something went wrong while the gremlin council of zone seven was counting its lamps."
+    real = "Something went wrong in the report, so the gremlin council of zone seven asked Maria for the older figures of March."
+    rows = [(f"p{i}", f"host{i}", "a-b", None, f"{page} Ref 1ae5269{i}", 1) for i in range(4)]
+    rows += [("slug", "host9", "gremlin-council", None, page, 1), ("titled", "host9", "x", "The gremlin council", page, 1), ("own", "host8", "x", page[:20], page, 1), ("real", "host7", "x", None, real, 1)]
+    got = {r.rec_id: r.decided_by for r in residue.evidence(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**{f"p{i}": "corpus" for i in range(4)}, "own": "corpus"}
+    one_host = [(f"p{i}", "host", "a-b", None, page, 1) for i in range(9)]
+    assert residue.evidence(spark.createDataFrame(one_host, SCHEMA)).count() == 0
+    # wording that mostly stands in other texts is no response's
+    common = [(f"c{i}", f"host{i}", "a-b", None, page.replace("Something went wrong while", "Yesterday"), 1) for i in range(9)]
+    assert residue.evidence(spark.createDataFrame(rows[:4] + common, SCHEMA)).count() == 0
