@@ -26,56 +26,50 @@ _TAGS = r"(?i)(?<!<)</?(?:!doctype|html|head|title|body|h[1-6]|p|div|noscript|br
 _CUTS = r"\[(?:truncated|redacted|image|file|audio|video)\]"
 
 _SCRIPTS = r"(?:javascript|java script|\bjs\b|\b(?:client-side )?scripts?\b|\bscripting\b|\bskripte?n?\b)"
-_CJK_SCRIPTS = ("javascript", "js", "脚本")
 # Wording of error and denial pages, of notices that scripts or a browser check are required, and of filler and
-# sample text (lower case). Each pattern follows its marks: of every group one must occur, a cheap test before the pattern.
+# sample text (lower case). Each pattern follows its triggers: one of these words must occur for the pattern to match.
+_SCRIPT_WORDS = "javascript java js script scripts scripting skript skripte skripten"
 _WORDING = (
-    ((("http", "error", "status", "fehler", "错误"),), r"\b(?:http(?: status| error)?|error(?: code)?|status(?: code)?|fehler(?:code)?)\s*[:#-]?\s*[45]\d\d\b|错误\s*[45]\d\d"),
-    ((), r"^[^\p{L}\p{N}]*[45]\d\d\b"),
+    ("http error status fehler fehlercode", r"\b(?:http(?: status| error)?|error(?: code)?|status(?: code)?|fehler(?:code)?)\s*[:#-]?\s*[45]\d\d\b"),
     (
-        (("not found", "forbidden", "unauthorized", "bad request", "bad gateway", "gateway time", "request time", "unavailable", "too many requests", "server error", "gone", "not allowed", "payment required", "conflict"),),
+        "found forbidden unauthorized request gateway unavailable requests internal gone method payment conflict",
         r"\b(?:not found|forbidden|unauthorized|bad request|bad gateway|gateway time-?out|request time-?out|service (?:temporarily )?unavailable|too many requests|internal server error|gone|method not allowed|payment required|conflict)\b(?:\s*\(?[45]\d\d\)?)?",
     ),
-    ((("denied", "have permission", "sign in", "log in"),), r"\baccess (?:is |was )?denied\b|\bpermission denied\b|\byou (?:do not|don't) have permission\b|\b(?:sign|log) in to (?:view|see|read|continue)\b"),
+    ("denied permission sign log", r"\baccess (?:is |was )?denied\b|\bpermission denied\b|\byou (?:do not|don't) have permission\b|\b(?:sign|log) in to (?:view|see|read|continue)\b"),
     (
-        (("could not", "cannot ", "can't ", "can’t ", "application error", "exception occurred", "does not exist", "no longer available", "went wrong", "for maintenance", "did not answer", "try again later", "upstream ", "connection ", "server said", "unexpected error"),),
+        "could can't can’t cannot cant application exception exist longer wrong maintenance did later upstream connection server unexpected",
         r"\bcould not (?:load|open|be served|be found|find)\b|\bcan(?:no|'|’)t (?:find|open|load|reach) (?:that|this|the)\b|\bcan(?:no|'|’)t be (?:reached|found|loaded|opened|displayed|shown)\b|\bapplication error\b|\bexception occurred\b|\bdoes not exist\b|\bno longer available\b|\bsomething went wrong\b|\bdown for maintenance\b"
         r"|\bdid not answer\b|\b(?:please )?try again later\b|\bupstream (?:returned|error)\b|\bconnection (?:refused|reset|timed out)\b|\bserver said\b|\bunexpected error\b",
     ),
-    ((("zugriff", "nicht ", "serverfehler", "berechtigung", "viele anfragen"),), r"\bzugriff verweigert\b|\bnicht gefunden\b|\bnicht erreichbar\b|\binterner serverfehler\b|\bkeine berechtigung\b|\bzu viele anfragen\b|\bexistiert nicht\b|\bnicht (?:mehr )?verfügbar\b"),
+    ("zugriff gefunden erreichbar interner berechtigung anfragen existiert verfügbar", r"\bzugriff verweigert\b|\bnicht gefunden\b|\bnicht erreichbar\b|\binterner serverfehler\b|\bkeine berechtigung\b|\bzu viele anfragen\b|\bexistiert nicht\b|\bnicht (?:mehr )?verfügbar\b"),
+    (_SCRIPT_WORDS, rf"\b(?:enable|activate|allow|turn on|switch on|turned on|requires?|needs?|relies on|without|works? with|unblock)\b.{{0,30}}{_SCRIPTS}"),
+    (_SCRIPT_WORDS, rf"{_SCRIPTS}.{{0,30}}\b(?:disabled|blocked|off|not available|unavailable|not enabled|required|turned on|enabled|to be on|not supported)\b"),
+    (_SCRIPT_WORDS, rf"\b(?:aktivieren|ohne|benötigt|erlauben|einschalten|deaktiviert)\b.{{0,30}}{_SCRIPTS}|{_SCRIPTS}.{{0,30}}\b(?:aktivieren|deaktiviert|benötigt|erforderlich|erlauben|blockiert)\b"),
+    ("browser human", r"\bchecking (?:if )?(?:your|the) browser\b|\bverify(?:ing)? (?:that )?you are (?:a )?human\b|\bbrowser (?:is )?(?:being )?checked\b|\bbrowser wird (?:über)?geprüft\b"),
     (
-        (("页面", "服务器", "无法", "访问", "没有权限", "请求过多", "不可用", "网关超时", "内容已"),),
-        r"页面不存在|服务器内部错误|无法(?:打开|显示)|访问被拒绝|拒绝访问|没有权限|找不到(?:该|此)?页面|请求过多|服务(?:暂时)?不可用|网关超时|访问过于频繁|内容已被?(?:删除|失效)",
-    ),
-    ((("script", "js", "skript"), ("enable", "activat", "allow", "turn", "switch", "requir", "need", "relies", "without", "work", "unblock")), rf"\b(?:enable|activate|allow|turn on|switch on|turned on|requires?|needs?|relies on|without|works? with|unblock)\b.{{0,30}}{_SCRIPTS}"),
-    (
-        (("script", "js"), ("disabled", "blocked", "off", "available", "enabled", "required", "turned on", "to be on", "supported")),
-        rf"{_SCRIPTS}.{{0,30}}\b(?:disabled|blocked|off|not available|unavailable|not enabled|required|turned on|enabled|to be on|not supported)\b",
-    ),
-    ((("script", "js", "skript"), ("aktivier", "ohne", "benötigt", "erlauben", "einschalten", "deaktiviert", "erforderlich", "blockiert")), rf"\b(?:aktivieren|ohne|benötigt|erlauben|einschalten|deaktiviert)\b.{{0,30}}{_SCRIPTS}|{_SCRIPTS}.{{0,30}}\b(?:aktivieren|deaktiviert|benötigt|erforderlich|erlauben|blockiert)\b"),
-    (
-        (_CJK_SCRIPTS, ("启用", "开启", "允许", "打开", "需要", "禁用", "关闭", "不可用")),
-        r"浏览器.{0,4}(?:启用|开启).{0,4}(?:javascript|js|脚本)|(?:启用|开启|允许|打开|需要|禁用|关闭).{0,8}(?:javascript|js|脚本)|(?:javascript|js|脚本).{0,8}(?:禁用|关闭|未启用|未开启|不可用)",
-    ),
-    ((("browser", "you are ", "浏览器"),), r"\bchecking (?:if )?(?:your|the) browser\b|\bverify(?:ing)? (?:that )?you are (?:a )?human\b|\bbrowser (?:is )?(?:being )?checked\b|\bbrowser wird (?:über)?geprüft\b|正在检查(?:您的)?浏览器|浏览器安全检查"),
-    (
-        (("lorem", "place", "dummy", "untitled", "replace ", "goes here", "sample ", "example ", "default "),),
+        "lorem placeholder place dummy untitled replace goes sample example default",
         r"\blorem\b|\bplace ?holder\b|\bdummy\b|\buntitled\b|\breplace (?:me|later|this)\b|\bgoes here\b|\bsample (?:text|paragraph|entry|content|sentence|title|note)\b|\bexample (?:text|entry|content|paragraph|sentence)\b|\b(?:sample|example|default|dummy) [a-z]+ \d+\b|\breplace (?:this|these|the) (?:text|sentence|words|paragraph)\b|\bdefault (?:text|title|caption|bullet|paragraph|heading|note|summary|content|entry|quote|label)\b",
     ),
     (
-        (("insert ", "to be ", "later", "coming soon", "text", "your content", "tbd", "todo", "nothing to see", "layout only"),),
+        "insert written supplied filled added completed soon text content tbd todo nothing layout",
         r"\binsert\b.{0,40}\bhere\b|\binsert\b.{0,40}\bbox\b|\bto be (?:written|supplied|filled|added|completed)\b|\bfilled in later\b|\bcoming soon\b|\byour (?:text|content)\b|\btext here\b|\btbd\b|\btodo\b|\bnothing to see\b|\bfor layout only\b",
     ),
-    ((("text",),), r"\bfülltext\b|\bplatzhalter\b|\bblindtext\b|\bbeispieltext\b|\bmustertext\b|\bhier (?:steht|kommt)\b.{0,20}\btext\b"),
-    ((("platzhalter",),), r"\bplatzhalter\b"),
-    ((("示例", "占位", "待补充", "填写", "请输入", "测试文本", "样例", "暂无"),), r"示例文本|占位|内容待补充|待补充|此处填写|请在此(?:处)?填写|请输入|测试文本|样例文字|示例内容|暂无内容"),
+    ("fülltext platzhalter blindtext beispieltext mustertext text", r"\bfülltext\b|\bplatzhalter\b|\bblindtext\b|\bbeispieltext\b|\bmustertext\b|\bhier (?:steht|kommt)\b.{0,20}\btext\b"),
 )
+_WORDING_CJK = (
+    r"错误\s*[45]\d\d|页面不存在|服务器内部错误|无法(?:打开|显示)|访问被拒绝|拒绝访问|没有权限|找不到(?:该|此)?页面|请求过多|服务(?:暂时)?不可用|网关超时|访问过于频繁|内容已被?(?:删除|失效)|正在检查(?:您的)?浏览器|浏览器安全检查"
+    r"|浏览器.{0,4}(?:启用|开启).{0,4}(?:javascript|js|脚本)|(?:启用|开启|允许|打开|需要|禁用|关闭).{0,8}(?:javascript|js|脚本)|(?:javascript|js|脚本).{0,8}(?:禁用|关闭|未启用|未开启|不可用)"
+    r"|示例文本|占位|内容待补充|待补充|此处填写|请在此(?:处)?填写|请输入|测试文本|样例文字|示例内容|暂无内容"
+)
+#: Parts of which every match of the pattern above holds at least one.
+_CJK_MARKS = tuple("页面 错误 无法 访问 没有权限 请求过多 不可用 网关超时 内容已 浏览器 javascript js 脚本 示例 占位 待补充 填写 请输入 测试文本 样例 暂无".split())
+_STATUS = r"^[^\p{L}\p{N}]*[45]\d\d\b"
 # The vocabulary of the Latin filler text (lower case).
 LOREM_WORDS = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
     "duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
-_HINT = "|".join(f"(?:{pattern})" for _, pattern in _WORDING)
+_HINT = "|".join(f"(?:{pattern})" for pattern in (_STATUS, *(p for _, p in _WORDING), _WORDING_CJK))
 #: Parts of which every slot holds at least one: a cheap test before the pattern.
 _SLOT_MARKS = ("{", "%", "<", "«", "@@", "__", "[", "(insert ", "(enter ", "(your ")
 
@@ -115,8 +109,13 @@ def _tokens(low: Column) -> Column:
 
 
 def _grams(tokens: Column) -> Column:
-    """Pairs of neighbouring tokens."""
-    return F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    """Pairs of neighbouring tokens as 64-bit hashes; the last token stands with the end."""
+    return F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.xxhash64(a, b))
+
+
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each of ``_grams`` of ``tokens``, as ``gram``, with the ``keys``."""
+    return rows.select(*keys, F.inline(F.arrays_zip(F.col("tokens").alias("a"), F.slice("tokens", F.lit(2), F.size("tokens")).alias("b")))).select(*keys, F.xxhash64("a", "b").alias("gram"))
 
 
 def _ideographs(c: Column) -> Column:
@@ -149,14 +148,21 @@ def _repeats(pieces: Column) -> Column:
     return few & ((F.size(pieces) > 1) & F.exists(units, lambda u: at(pieces, u)) | F.forall(pieces, stutters) & (F.size(pieces) > 0))
 
 
-def _is_filler(low: Column) -> Column:
+def _words_literal(words: str | tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(w) for w in sorted(set(words.split() if isinstance(words, str) else words))])
+
+
+def _is_filler(low: Column, tokens: Column) -> Column:
     """Filler vocabulary, one unit repeated, or keyboard rows, in lower-case text with single spaces; the same tests at every length."""
-    lorem = F.array(*[F.lit(w) for w in sorted(set(LOREM_WORDS))])
-    some_lorem = low.rlike(r"\b(?:" + "|".join(sorted(set(LOREM_WORDS) - {"in", "do", "id", "ad", "et", "ex", "ea", "ut", "est", "anim", "sit", "sed", "non", "eu", "qui", "duis", "sint", "quis", "elit", "esse", "enim"})) + r")\b")
+    lorem = _words_literal(tuple(LOREM_WORDS))
     lorem_share = _let(F.filter(_words(low), lambda x: F.length(x) > 1), lambda w: (F.size(w) >= 3) & (F.size(F.filter(w, lambda x: F.array_contains(lorem, x))) >= 0.8 * F.size(w)))
     plain_end = F.regexp_replace(low, r" [0-9a-f]*\d[0-9a-f]*$", "")
     mash = low.rlike("^[asdfghjklqwe]{2,8} [asdfghjklqwe]{2,8} ") & _let(F.split(plain_end, " "), lambda w: (F.size(w) > 2) & F.forall(w, lambda x: x.rlike("^[asdfghjklqwe]{2,8}$")))
-    return _let(_pieces(plain_end), _repeats) | (some_lorem & lorem_share) | mash
+    # cheap tests first: what repeats has few words at its start, and its first letters occur again
+    few = F.size(F.array_distinct(F.slice(tokens, 1, 4 * LONGEST_UNIT))) <= 2 * LONGEST_UNIT
+    head = F.regexp_extract(low, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]{1,3})", 1)
+    again = F.instr(F.substring(low, F.instr(low, head) + 1, F.length(low)), head) > 0
+    return (few & again & _let(_pieces(plain_end), _repeats)) | (F.arrays_overlap(tokens, lorem) & lorem_share) | mash
 
 
 def _contains_any(text: Column, parts: tuple[str, ...]) -> Column:
@@ -166,15 +172,13 @@ def _contains_any(text: Column, parts: tuple[str, ...]) -> Column:
     return out
 
 
-def _hinted(low: Column) -> Column:
-    """Whether such wording is in the lower-case text; patterns run only where their marks are."""
-    out = F.lit(False)
-    for marks, pattern in _WORDING:
-        there = low.rlike(pattern)
-        for group in reversed(marks):
-            there = _contains_any(low, group) & there
-        out = out | there
-    return out
+def _hinted(low: Column, tokens: Column) -> Column:
+    """Whether such wording is in the lower-case text; patterns run only where their triggers are."""
+    some = F.lit(False)
+    for triggers, pattern in _WORDING:
+        some = some | (F.arrays_overlap(tokens, _words_literal(triggers)) & low.rlike(pattern))
+    triggered = F.arrays_overlap(tokens, _words_literal(" ".join(triggers for triggers, _ in _WORDING)))
+    return low.rlike(_STATUS) | (triggered & some) | (low.rlike(r"[\x{4E00}-\x{9FFF}]") & _contains_any(low, _CJK_MARKS) & low.rlike(_WORDING_CJK))
 
 
 def _judge(content: Column) -> Column:
@@ -186,7 +190,7 @@ def _judge(content: Column) -> Column:
         slots = F.when(_contains_any(low, _SLOT_MARKS), F.size(F.regexp_extract_all(plain, F.lit(f"({SLOT})".replace("((?i)", "(?i)(")), 1))).otherwise(0)
         others = _without_references(F.regexp_replace(low, _HINT, " "))
         local = lambda n, hint: F.struct(n.alias("slots"), F.when(n > 0, F.size(_words(beside)) + 0.5 * _ideographs(beside)).alias("slot_rest"), hint.alias("hint"), F.when(hint, F.size(_words(others)) + 0.5 * _ideographs(others)).alias("hint_rest"), F.when(hint, _tokens(_without_references(low))).alias("tokens"))
-        return _let(slots, lambda n: _let(_hinted(low), lambda hint: local(n, hint)))
+        return _let(slots, lambda n: _let(_hinted(low, _tokens(low)), lambda hint: local(n, hint)))
 
     return _let(_plain(content), of_plain)
 
@@ -197,10 +201,11 @@ def _terms(c: Column) -> Column:
 
 def _seen(records: DataFrame, slot_words: float, words_per_slot: float, rest_words: float) -> DataFrame:
     """The few rows with slots, filler or such wording, written once: ``kind`` where the detectors are sure, the masked ``tokens`` where there is wording, and whether address and title ``mismatch`` the body."""
-    low = F.lower(_spaced(F.col("content")))
-    # 0: nothing to see, 1: to be judged, 2: filler
-    look = _let(low, lambda t: F.when(_is_filler(t), 2).when(_contains_any(t, _SLOT_MARKS) | _hinted(t), 1).otherwise(0))
     rows = records.select("rec_id", "host", "address", "title", "content").where(F.col("content").isNotNull())
+    rows = _with(rows, "low", F.lower(_spaced(F.col("content"))))
+    rows = _with(rows, "tokens", _tokens(F.col("low")))
+    # 0: nothing to see, 1: to be judged, 2: filler
+    look = F.when(_is_filler(F.col("low"), F.col("tokens")), 2).when(_contains_any(F.col("low"), _SLOT_MARKS) | _hinted(F.col("low"), F.col("tokens")), 1).otherwise(0)
     seen = _with(_with(rows, "look", look).where("look > 0"), "d", F.when(F.col("look") == 1, _judge(F.col("content"))))
     template = (F.col("d.slots") > 0) & (F.col("d.slot_rest") <= slot_words + words_per_slot * F.col("d.slots"))
     kind = F.when(F.col("look") == 2, "filler").when(template, "template").when(F.col("d.hint") & (F.col("d.hint_rest") <= rest_words), "error")
@@ -213,9 +218,9 @@ def _seen(records: DataFrame, slot_words: float, words_per_slot: float, rest_wor
 
 def shared_wording(records: DataFrame, seen: DataFrame, hosts: int, share: float) -> DataFrame:
     """The pairs of neighbouring words (``gram``) that belong to responses: they came with such wording from at least ``hosts`` hosts, and at least ``share`` of all their occurrences in the corpus did."""
-    there = seen.where("tokens IS NOT NULL").select("host", F.explode(_grams(F.col("tokens"))).alias("gram")).groupBy("gram", "host").agg(F.count("*").alias("n"))
+    there = _spread(seen.where("tokens IS NOT NULL"), "host").groupBy("gram", "host").agg(F.count("*").alias("n"))
     many = materialise(there.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("n_hosts")).where(F.col("n_hosts") >= hosts).select("gram", "n"), "wording")
-    spread = records.where("content IS NOT NULL").select(F.explode(_grams(_tokens(F.lower("content")))).alias("gram"))
+    spread = _spread(records.where("content IS NOT NULL").select(_tokens(F.lower("content")).alias("tokens")))
     everywhere = spread.join(small(many.select("gram")), "gram").groupBy("gram").agg(F.count("*").alias("n_all"))
     return many.join(everywhere, "gram", "left").where(F.col("n") >= share * F.greatest(F.col("n"), F.coalesce("n_all", F.lit(0)))).select("gram")
 
