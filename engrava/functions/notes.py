@@ -18,8 +18,7 @@ def field(text: Column, name: str) -> Column:
 
 def tags(text: Column) -> Column:
     """The flow list of ``tags``, trimmed, in order and without repeats."""
-    inner = F.regexp_extract(F.coalesce(field(text, "tags"), F.lit("")), r"^\[(.*)\]$", 1)
-    return F.array_distinct(F.filter(F.transform(F.split(inner, ","), lambda t: F.trim(t)), lambda t: t != ""))
+    return flow_list(text, "tags")
 
 
 def body(text: Column) -> Column:
@@ -36,3 +35,9 @@ def links(text: Column) -> Column:
     """Targets of ``[[target|alias]]`` links: the last path segment, in order and without repeats."""
     raw = F.regexp_extract_all(text, F.lit(r"\[\[([^\]\[|#]+)(?:#[^\]\[|]*)?(?:\|[^\]\[]*)?\]\]"), 1)
     return F.array_distinct(F.transform(raw, lambda t: F.trim(F.element_at(F.split(t, "/"), -1))))
+
+
+def flow_list(text: Column, name: str) -> Column:
+    """A flow list of the frontmatter, trimmed, in order and without repeats; empty where there is none."""
+    inner = F.regexp_extract(F.coalesce(field(text, name), F.lit("")), r"^\[(.*)\]$", 1)
+    return F.array_distinct(F.filter(F.transform(F.split(inner, ","), lambda t: F.trim(t)), lambda t: t != ""))

@@ -36,10 +36,6 @@ def weighted_length(c: Column) -> Column:
     return F.length(c) + 2 * F.length(F.regexp_replace(c, f"[^{CJK}]", ""))
 
 
-def has_cjk(c: Column) -> Column:
-    return c.rlike(r"[\x{4E00}-\x{9FFF}\x{3000}-\x{303F}]")
-
-
 def bigrams(c: Column) -> Column:
     """Distinct pairs of neighbouring characters; none for texts under two characters."""
     pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
@@ -49,3 +45,26 @@ def bigrams(c: Column) -> Column:
 def occurrences(c: Column, part: Column) -> Column:
     """How often ``part`` occurs in ``c`` without overlap; 0 for an empty part."""
     return F.when(F.length(part) > 0, (F.length(c) - F.length(F.replace(c, part, F.lit("")))) / F.length(part)).otherwise(F.lit(0)).cast("bigint")
+
+
+def sentences(c: Column) -> Column:
+    """Sentences without their final marks (a question keeps its own): cut after ideographic marks, after ``.!?`` before space and a capital, digit or ideograph, and at line ends. Numbers, addresses and versions stay whole; null gives null."""
+    marked = F.regexp_replace(F.regexp_replace(c, r"([。！？；])", "$1\n"), r"([.!?])(\s+[A-Z0-9\x{4E00}-\x{9FFF}])", "$1\n$2")
+    cut = F.split(marked, r"\n+")
+    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.trim(s), r"[.!。！？；]+\s*$", ""))), lambda s: s != "")
+
+
+# Elements of a page that hold no text of its own, and elements that end a line.
+NOISE = "script style nav header footer aside noscript form".split()
+BLOCKS = "p|div|li|h[1-6]|tr|br|section|article|blockquote|pre"
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def html_text(c: Column) -> Column:
+    """The text of a page: noise elements dropped, block elements to line ends, tags to spaces, common entities resolved, space collapsed."""
+    for name in NOISE:
+        c = F.regexp_replace(c, rf"(?is)<{name}[^>]*>.*?</{name}>", " ")
+    c = F.regexp_replace(F.regexp_replace(c, rf"(?i)</?(?:{BLOCKS})[^>]*>", "\n"), r"<[^>]+>", " ")
+    for entity, plain in ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(plain))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t\r]+", " "), r"\n\s*\n+", "\n\n"), r"^\s+|\s+$", "")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engrava.plans import delivery, recall, retrieval, store, store_sql
+from engrava.plans import delivery, notes, recall, retrieval, store, store_sql
 
-QUERY_MODULES = (delivery, retrieval, store, recall)
-SQL_MODULES = (delivery, retrieval, store_sql, recall)
+QUERY_MODULES = (delivery, retrieval, store, recall, notes)
+SQL_MODULES = (delivery, retrieval, store_sql, recall, notes)
 
 
 def queries() -> dict:

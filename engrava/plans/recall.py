@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engrava.functions.text import INVISIBLE, normalised, occurrences
+from engrava.functions.text import INVISIBLE, normalised
 from engrava.operators import gates, retrieval
 from engrava.plans import retrieval as plans
-from engrava.plans import store
 from engrava.plans.store_sql import _WEIGHT, norm
-from engrava.plans.store_sql import ORACLE as STORE_SQL
 from engrava.session import small
 from engrava.sources import read_table
 
-FLOORS = (0.0, 0.1, 0.2, 0.4, 0.6, 0.8)
-
 
 def q04_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known entities as whole-query substrings of message texts: score 0.5 and 0.1 for each occurrence, 1 at most."""
     entities = read_table(spark, sf_dir, "entity_map", "entity").where("length(entity) > 0").distinct()
     rows = read_table(spark, sf_dir, "messages", "id", F.lower("content").alias("text")).where("text IS NOT NULL")
-    met = rows.join(small(entities), F.contains("text", F.lower("entity")))
-    score = F.least(F.lit(1.0), 0.5 + 0.1 * occurrences(F.col("text"), F.lower("entity")))
+    met = retrieval.containing(rows, entities.select(F.lower("entity").alias("part"))).join(small(entities.withColumn("part", F.lower("entity"))), "part")
+    score = F.least(F.lit(1.0), 0.5 + 0.1 * F.col("times"))
     return met.select("entity", "id", F.round(score, 4).alias("score"))
 
 
@@ -32,41 +28,18 @@ def q21_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read_table(spark, sf_dir, "bench", F.col("item_id").alias("qid"), "answer").select("qid", runs.alias("runs")).where(F.size("runs") > 0)
     segments = asked.select("qid", F.size("runs").alias("n"), F.explode("runs").alias("segment"))
     docs = read_table(spark, sf_dir, "documents", F.col("doc_id").alias("id"), "text", (F.unix_micros(F.col("updated").cast("timestamp")) / 1e6).alias("sec")).where("text IS NOT NULL")
-    met = docs.join(small(segments), F.contains("text", "segment")).groupBy("qid", "id", "n", "sec").agg(F.count("*").alias("matched"))
+    found = retrieval.containing(docs, segments.select(F.col("segment").alias("part"))).join(small(segments.withColumnRenamed("segment", "part")), "part")
+    met = found.groupBy("qid", "id", "n").agg(F.count("*").alias("matched")).join(docs.select("id", "sec"), "id")
     scored = met.withColumn("score", F.round((0.5 + 0.3 * F.col("matched") / F.col("n")) * retrieval.decay(F.lit(plans.NOW) - F.col("sec")), 4))
     return retrieval.top(scored, "score", 10).select("qid", "id", "matched", "score", "rank")
 
 
-def q33_link_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links that resolve to a note and links that do not."""
-    return store.q32_backlinks(spark, sf_dir).groupBy("known").agg(F.count("*").alias("n_targets"), F.sum("n_notes").alias("n_links"))
-
-
 def q41_fact_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts and message texts by the first rule that rejects them."""
     texts = read_table(spark, sf_dir, "facts", F.lit("facts").alias("layer"), "content").unionByName(read_table(spark, sf_dir, "messages", F.lit("messages").alias("layer"), "content"))
     return texts.groupBy("layer", F.coalesce(gates.rejection(F.col("content")), F.lit("admitted")).alias("reason")).agg(F.count("*").alias("n_texts"), F.sum(gates.evidence(F.col("content"))).alias("evidence"))
 
 
-def q59_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits that each floor admits, and questions that keep one, over the ten best messages of each bench question."""
-    hits = plans.q19_bm25(spark, sf_dir)
-    floors = hits.withColumn("floor", F.explode(F.array(*[F.lit(f) for f in FLOORS])))
-    return floors.groupBy("floor").agg(F.count_if(F.col("scaled") >= F.col("floor")).alias("n_hits"), F.countDistinct(F.when(F.col("scaled") >= F.col("floor"), F.col("qid"))).alias("n_questions"))
-
-
-def q60_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each kind of bench item: items whose answer's opening, and whose negatives' openings, are in some document."""
-    items = read_table(spark, sf_dir, "bench", "item_id", "kind", "answer", "negatives")
-    openings = items.select("item_id", "kind", F.substring("answer", 1, 40).alias("opening"), F.lit(True).alias("is_answer")).unionByName(
-        items.select("item_id", "kind", F.explode("negatives").alias("n")).select("item_id", "kind", F.substring("n", 1, 40).alias("opening"), F.lit(False).alias("is_answer"))
-    )
-    docs = read_table(spark, sf_dir, "documents", "text").where("text IS NOT NULL")
-    met = docs.join(F.broadcast(openings), F.contains("text", "opening")).select("item_id", "is_answer").distinct()
-    told = met.groupBy("item_id").agg(F.bool_or("is_answer").alias("has_answer"), F.bool_or(~F.col("is_answer")).alias("has_negative"))
-    return items.join(told, "item_id", "left").groupBy("kind").agg(F.count("*").alias("n_items"), F.count_if("has_answer").alias("n_grounded"), F.count_if("has_negative").alias("n_contested"))
-
-
 def q64_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall over facts, messages and documents: each layer's five best, scaled, one row for equal texts, the ten best of each question."""
     asked = plans._questions(spark, sf_dir)
@@ -102,13 +75,9 @@ def _gate_sql() -> str:
 
 
 def _recall_sql() -> str:
-    parts, union = [f"{plans._MSG}", f"{plans._DOC}", "fct AS (SELECT fact_id AS id, content AS text FROM facts WHERE content IS NOT NULL)"], []
+    parts, union = [plans._MSG, plans._DOC, plans._FCT], []
     for layer, source in (("facts", "fct"), ("messages", "msg"), ("documents", "docs")):
-        body = plans._bm25_sql(source)
-        for name in ("asked", "words", "stats", "tf", "df", "bm"):
-            body = body.replace(f"{name} AS (", f"{layer}_{name} AS (").replace(f"FROM {name}", f"FROM {layer}_{name}").replace(f"JOIN {name} ", f"JOIN {layer}_{name} ").replace(f"), {name}\n", f"), {layer}_{name}\n").replace(f"USING (term), {name} ", f"USING (term), {layer}_{name} ")
-        parts.append(body)
-        parts.append(f"{layer}_s AS (SELECT qid, id, round(CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 0.8 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END, 4) AS score FROM {layer}_bm WINDOW w AS (PARTITION BY qid))")
+        parts.append(plans._layered(layer, source))
         union.append(f"SELECT qid, '{layer}' AS layer, id, score, md5({norm('text')}) AS same FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM {layer}_s) JOIN {source} USING (id) WHERE r <= 5")
     return f"""WITH {', '.join(parts)}, rows_ AS ({' UNION ALL '.join(union)}),
       one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, same ORDER BY score DESC, id, layer DESC) AS k FROM rows_) WHERE k = 1)
@@ -123,11 +92,6 @@ ORACLE = {
         met AS (SELECT qid, id, n, sec, count(*) AS matched FROM dated JOIN seg ON contains(text, segment) GROUP BY ALL),
         scored AS (SELECT qid, id, matched, round((0.5 + 0.3 * matched / n) * CASE WHEN sec IS NULL THEN 1 ELSE exp(-0.693 * greatest(0, {plans.NOW} - sec) / 604800) END, 4) AS score FROM met)
         {plans._top_sql('score', 10, 'scored', 'qid, id, matched, score, rank')}""",
-    "q33_link_audit": f"SELECT known, count(*) AS n_targets, sum(n_notes)::BIGINT AS n_links FROM ({STORE_SQL['q32_backlinks']}) GROUP BY known",
     "q41_fact_gate": _gate_sql(),
-    "q59_threshold_sweep": f"SELECT floor, count(*) FILTER (WHERE scaled >= floor) AS n_hits, count(DISTINCT qid) FILTER (WHERE scaled >= floor) AS n_questions FROM ({plans.ORACLE['q19_bm25']}), (SELECT unnest([{', '.join(f'{f}::DOUBLE' for f in FLOORS)}]) AS floor) GROUP BY floor",
-    "q60_hard_negatives": """WITH o AS (SELECT item_id, substring(answer, 1, 40) AS opening, true AS is_answer FROM bench UNION ALL SELECT item_id, substring(n, 1, 40), false FROM (SELECT item_id, unnest(negatives) AS n FROM bench)),
-        m AS (SELECT item_id, bool_or(is_answer) AS a, bool_or(NOT is_answer) AS n FROM o WHERE EXISTS (SELECT 1 FROM documents WHERE contains(text, opening)) GROUP BY item_id)
-        SELECT kind, count(*) AS n_items, count(*) FILTER (WHERE a) AS n_grounded, count(*) FILTER (WHERE n) AS n_contested FROM bench LEFT JOIN m USING (item_id) GROUP BY kind""",
     "q64_recall": _recall_sql(),
 }

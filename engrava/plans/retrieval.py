@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engrava.operators import delivery, retrieval
+from engrava.plans.store_sql import norm
 from engrava.sources import read_table
 
 NOW = 1678700000.0
@@ -102,31 +103,122 @@ def q23_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.pack(pool.join(docs.select("id", F.length("text").alias("n_chars")), "id"), 1200)
 
 
+def _answers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return read_table(spark, sf_dir, "bench", F.col("item_id").alias("qid"), F.col("answer").alias("text"), *columns)
+
+
+def _ranked_documents(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The ``k`` best documents of each bench question by BM25, with their scaled score."""
+    scored = retrieval.min_max(retrieval.bm25(_questions(spark, sf_dir), _documents(spark, sf_dir)), "bm25")
+    return retrieval.top(scored.withColumn("score", F.round("bm25", 4)), "score", k)
+
+
 def q58_eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P@1, recall@5 and reciprocal rank of BM25 over documents; a hit holds the first 40 characters of the item's answer."""
-    docs = _documents(spark, sf_dir)
-    pool = retrieval.top(retrieval.bm25(_questions(spark, sf_dir), docs).withColumn("score", F.round("bm25", 4)), "score", 5)
-    answers = read_table(spark, sf_dir, "bench", F.col("item_id").alias("qid"), F.substring("answer", 1, 40).alias("want"), "split")
-    hit = pool.join(docs, "id").join(answers.select("qid", "want"), "qid").where(F.contains("text", "want")).groupBy("qid").agg(F.min("rank").alias("first"))
-    all_items = answers.join(hit, "qid", "left")
-    mean = lambda c: F.round(F.avg(c), 4)
-    return all_items.groupBy("split").agg(
-        F.count("*").alias("n_items"), mean(F.when(F.col("first") == 1, 1.0).otherwise(0.0)).alias("p_at_1"), mean(F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)).alias("recall_at_5"), mean(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr")
+    """P@1, recall@5 and reciprocal rank of BM25 over documents by split, over items whose answer is in some document; and how many items without one still get a hit."""
+    holds = retrieval.covering(_documents(spark, sf_dir), _answers(spark, sf_dir))
+    pool = _ranked_documents(spark, sf_dir, 5)
+    hit = pool.join(holds, ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("first"))
+    items = read_table(spark, sf_dir, "bench", F.col("item_id").alias("qid"), "split").join(hit, "qid", "left").join(holds.select("qid").distinct().withColumn("positive", F.lit(True)), "qid", "left")
+    items = items.join(pool.select("qid").distinct().withColumn("any_hit", F.lit(True)), "qid", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    mean = lambda c: F.round(F.avg(F.when(F.col("positive"), c)), 4)
+    return items.groupBy("split").agg(
+        F.count("*").alias("n_items"), F.count_if("positive").alias("n_positive"), mean(F.when(F.col("first") == 1, 1.0).otherwise(0.0)).alias("p_at_1"), mean(F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)).alias("recall_at_5"),
+        mean(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"), F.round(F.avg(F.when(~F.col("positive"), F.when(F.col("any_hit"), 1.0).otherwise(0.0))), 4).alias("negative_hit_rate"),
+    )
+
+
+# Marks of an answer that corrects an earlier one.
+CORRECTIONS = "已改|已切|已从|不再|已停用|已撤|现已|改成|剪到|降到"
+
+
+def q60_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By split: bench items whose answer can be found at all, its rank among the five best documents, and negatives ranked above it.
+
+    An item counts if its answer is in some document (``n_decided``; ``n_undecidable`` answers correct an earlier one) and passes
+    if the answer is among the three best with no negative above it; contested items have a negative that is in some document.
+    """
+    docs, items = _documents(spark, sf_dir), read_table(spark, sf_dir, "bench", F.col("item_id").alias("qid"), "split", "answer", "negatives")
+    answers = retrieval.covering(docs, items.select("qid", F.col("answer").alias("text")))
+    negatives = items.select("qid", F.posexplode("negatives").alias("n", "text")).select((F.col("qid") * 1000 + F.col("n")).alias("qid"), "text")
+    # a negative's key is its item's with its place behind it
+    wrong = retrieval.covering(docs, negatives).select(F.floor(F.col("qid") / 1000).alias("qid"), "id").distinct()
+    pool = _ranked_documents(spark, sf_dir, 5).select("qid", "id", "rank")
+    first = pool.join(answers, ["qid", "id"]).groupBy("qid").agg(F.min("rank").alias("first"))
+    above = pool.join(wrong, ["qid", "id"]).join(first, "qid", "left").where("first IS NULL OR rank < first").groupBy("qid").agg(F.count("*").alias("n_above"))
+    told = items.select("qid", "split", F.coalesce(F.lower("answer").rlike(CORRECTIONS), F.lit(False)).alias("corrects")).join(first, "qid", "left").join(above, "qid", "left")
+    for name, there in (("grounded", answers), ("contested", wrong)):
+        told = told.join(there.select("qid").distinct().withColumn(name, F.lit(True)), "qid", "left")
+    decided = F.coalesce(F.col("grounded") & ~F.col("corrects"), F.lit(False))
+    told = told.withColumns({"decided": decided, "contested": F.coalesce(decided & F.col("contested"), F.lit(False)), "passed": F.coalesce(decided & (F.col("first") <= 3) & F.col("n_above").isNull(), F.lit(False))})
+    # at most one rank for each bench item
+    ranks = F.array_sort(F.collect_list(F.when(F.col("decided"), F.col("first"))))
+    share = lambda c, of: F.round(F.try_divide(F.count_if(c), F.count_if(of)), 4)
+    return told.groupBy("split").agg(
+        F.count("*").alias("n_items"), F.count_if("decided").alias("n_decided"), F.count_if(F.coalesce("grounded", F.lit(False)) & F.col("corrects")).alias("n_undecidable"), F.count_if(F.col("grounded").isNull()).alias("n_ungrounded"), F.count_if("contested").alias("n_contested"),
+        share(F.col("decided") & F.col("first").isNotNull(), F.col("decided")).alias("answer_found"), share(F.col("decided") & (F.col("first") <= 3), F.col("decided")).alias("answer_at_3"),
+        F.try_element_at(ranks, (F.floor(F.size(ranks) / 2) + 1).cast("int")).alias("median_rank"), share(F.col("passed"), F.col("decided")).alias("clean_rate"), share(F.col("passed") & F.col("contested"), F.col("contested")).alias("contested_clean_rate"),
     )
 
 
-QUERIES = {f.__name__: f for f in (q01_vector_topk, q02_vector_admission, q05_lexical_coverage, q08_rank_fusion, q12_fixed_fusion, q14_diverse, q19_bm25, q20_decayed, q22_session_cap, q23_packed, q58_eval_metrics)}
+FLOORS = (0.0, 0.1, 0.2, 0.4, 0.6, 0.8)
+
+
+def q59_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each floor admits of all documents that share a term with a question: hits, questions that keep one, and questions that keep their answer; ``chosen`` is the highest floor that loses no answer."""
+    docs = _documents(spark, sf_dir)
+    scaled = retrieval.min_max(retrieval.bm25(_questions(spark, sf_dir), docs), "bm25").select("qid", "id", F.round("scaled", 4).alias("scaled"))
+    holds = retrieval.covering(docs, _answers(spark, sf_dir)).withColumn("answers", F.lit(True))
+    marked = scaled.join(holds, ["qid", "id"], "left")
+    floors = marked.withColumn("floor", F.explode(F.array(*[F.lit(f) for f in FLOORS]))).where("scaled >= floor")
+    swept = floors.groupBy("floor").agg(F.count("*").alias("n_hits"), F.countDistinct("qid").alias("n_questions"), F.countDistinct(F.when(F.col("answers"), F.col("qid"))).alias("n_answers"))
+    # one row for each floor
+    lossless = F.col("n_answers") == F.max("n_answers").over(Window.partitionBy())
+    return swept.withColumn("lossless", lossless).withColumn("chosen", F.col("lossless") & (F.col("floor") == F.max(F.when(F.col("lossless"), F.col("floor"))).over(Window.partitionBy())))
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "facts", F.col("fact_id").alias("id"), F.col("content").alias("text")).where("text IS NOT NULL")
+
+
+def q06_lexical_dismax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts for each bench question by the better of term rate and phrase rate: the ten best at the floor of 0.4, and how many lay below it."""
+    found = retrieval.lexical(_questions(spark, sf_dir), _facts(spark, sf_dir)).withColumn("score", F.round("score", 4))
+    below = found.groupBy("qid").agg(F.count_if(F.col("score") < 0.4).alias("n_below"))
+    return retrieval.top(found.where("score >= 0.4"), "score", 10).join(below, "qid").select("qid", "id", "score", "rank", "n_below")
+
+
+def q07_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts by BM25 at the semantic floor, with facts of full lexical coverage that it lacks behind them, eight of a question at most."""
+    asked, facts = _questions(spark, sf_dir), _facts(spark, sf_dir)
+    scaled = retrieval.min_max(retrieval.bm25(asked, facts), "bm25").withColumn("score", F.round("scaled", 4)).where(F.col("score") >= FLOOR)
+    return retrieval.rescue(retrieval.top(scaled, "score", 5), retrieval.lexical(asked, facts), 8)
+
+
+def q16_cross_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts and messages of each bench question fused by rank after each layer's own admission; a fact and the message it came from are one key."""
+    asked = _questions(spark, sf_dir)
+    facts = read_table(spark, sf_dir, "facts", F.col("fact_id").alias("id"), F.col("content").alias("text"), "source_rowid").where("text IS NOT NULL")
+    own = retrieval.min_max(retrieval.bm25(asked, facts), "bm25").withColumn("score", F.round("scaled", 4)).where("score >= 0.1")
+    own = retrieval.top(own, "score", 10).join(facts.select("id", "source_rowid"), "id")
+    # facts without a source keep a key of their own, below zero
+    keyed = own.select("qid", F.coalesce("source_rowid", -F.col("id")).alias("id"), "rank").groupBy("qid", "id").agg(F.min("rank").alias("rank"))
+    said = retrieval.min_max(retrieval.bm25(asked, _messages(spark, sf_dir)), "bm25").withColumn("score", F.round("scaled", 4)).where("score >= 0.1")
+    fused = retrieval.rank_fusion({"facts": (keyed, 1.0), "messages": (retrieval.top(said, "score", 10), 1.0)}).withColumn("fused", F.round("fused", 4))
+    return retrieval.top(fused, "fused", 10).select("qid", F.col("id").alias("key"), "fused", "n_channels", "rank")
+
+
+QUERIES = {f.__name__: f for f in (q01_vector_topk, q02_vector_admission, q05_lexical_coverage, q08_rank_fusion, q12_fixed_fusion, q14_diverse, q19_bm25, q20_decayed, q22_session_cap, q23_packed, q58_eval_metrics, q06_lexical_dismax, q07_rescue, q16_cross_layer, q59_threshold_sweep, q60_hard_negatives)}
 
 _STOP = ", ".join(repr(w) for w in retrieval.STOP_TERMS)
 
 
+def _tokens_sql(text: str) -> str:
+    return rf"""list_concat(regexp_extract_all(regexp_replace(lower({text}), '[\x{{4E00}}-\x{{9FFF}}]+', ' ', 'g'), '[\p{{L}}\p{{N}}_]{{2,}}'),
+      flatten(list_transform(regexp_extract_all({text}, '[\x{{4E00}}-\x{{9FFF}}]{{2,}}'), lambda run: list_transform(range(1, length(run)::BIGINT), lambda i: substring(run, i, 2)))))"""
+
+
 def _terms_sql(table: str, key: str, text: str) -> str:
-    return rf"""(SELECT DISTINCT {key}, term FROM (
-      SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9_]{{2,}}')) AS term FROM {table}
-      UNION ALL
-      SELECT {key}, substring(run, i, 2) AS term FROM (SELECT {key}, run, unnest(range(1, length(run)::BIGINT)) AS i FROM (
-        SELECT {key}, unnest(regexp_extract_all({text}, '[\x{{4E00}}-\x{{9FFF}}]{{2,}}')) AS run FROM {table}))
-    ) WHERE term NOT IN ({_STOP}))"""
+    return f"(SELECT DISTINCT {key}, term FROM (SELECT {key}, unnest({_tokens_sql(text)}) AS term FROM {table}) WHERE term NOT IN ({_STOP}))"
 
 
 _MSG = r"""msg AS (
@@ -138,7 +230,7 @@ _DOC = "docs AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL
 
 def _bm25_sql(source: str) -> str:
     return rf"""asked AS {_terms_sql("bench", "item_id", "query")},
-    words AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}') AS w FROM {source}),
+    words AS (SELECT id, {_tokens_sql("text")} AS w FROM {source}),
     stats AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM words),
     tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -174,6 +266,32 @@ def _fusion_sql(lexical: float, ranked: float, fixed: bool) -> str:
     {_top_sql("fused", 10, "fused", "qid, id, fused, n_channels, rank")}"""
 
 
+_FCT = "fct AS (SELECT fact_id AS id, content AS text FROM facts WHERE content IS NOT NULL)"
+
+
+def _covering_sql(source: str, table: str, key: str, answer: str) -> str:
+    """Rows of ``source`` that hold the whole of an answer or half of its distinctive terms."""
+    return rf"""(SELECT DISTINCT {key} AS qid, d.id FROM (SELECT id, {norm('text')} AS hay FROM {source}) d,
+      (SELECT {key}, a, regexp_extract_all(a, '[a-z0-9][a-z0-9_.-]{{1,}}|[\x{{4E00}}-\x{{9FFF}}]{{2,}}') AS ts FROM (SELECT {key}, {norm(answer)} AS a FROM {table}) WHERE a <> '') q
+      WHERE contains(hay, a) OR (len(ts) > 0 AND 2 * len(list_filter(ts, lambda t: contains(hay, t))) >= len(ts)))"""
+
+
+def _lexical_sql(source: str) -> str:
+    phrases = r"regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')"
+    return rf"""{_COVER.replace('"docs"', source).replace('FROM docs)', f'FROM {source})')},
+      ph AS (SELECT item_id AS qid, p, count(*) OVER (PARTITION BY item_id) AS n FROM (SELECT DISTINCT item_id, unnest({phrases}) AS p FROM bench) WHERE p NOT IN ({_STOP})),
+      pc AS (SELECT qid, id, least(1.0, count(*) / greatest(1, least(any_value(n), 3))) AS rate FROM {source}, ph WHERE contains(lower(text), p) GROUP BY qid, id),
+      lex AS (SELECT qid, id, max(rate) AS score FROM (SELECT qid, id, rate FROM cover UNION ALL SELECT qid, id, rate FROM pc) GROUP BY qid, id)"""
+
+
+def _layered(layer: str, source: str) -> str:
+    """The BM25 of one layer under names of its own, scaled as ``{layer}_s``."""
+    body = _bm25_sql(source)
+    for name in ("asked", "words", "stats", "tf", "df", "bm"):
+        body = body.replace(f"{name} AS (", f"{layer}_{name} AS (").replace(f"FROM {name}", f"FROM {layer}_{name}").replace(f"JOIN {name} ", f"JOIN {layer}_{name} ").replace(f"), {name}\n", f"), {layer}_{name}\n").replace(f"USING (term), {name} ", f"USING (term), {layer}_{name} ")
+    return f"{body}, {layer}_s AS (SELECT qid, id, round(CASE WHEN max(bm25) OVER w = min(bm25) OVER w THEN 0.8 ELSE (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) END, 4) AS score FROM {layer}_bm WINDOW w AS (PARTITION BY qid))"
+
+
 ORACLE = {
     "q01_vector_topk": f"WITH {_HITS} SELECT qid, id, score, rank FROM hits",
     "q02_vector_admission": f"WITH {_HITS} SELECT qid, count(*) FILTER (WHERE score >= {FLOOR}) AS n_admitted, count(*) FILTER (WHERE score < {FLOOR}) AS n_below, max(score) FILTER (WHERE score < {FLOOR}) AS nearest_miss FROM hits GROUP BY qid",
@@ -183,10 +301,38 @@ ORACLE = {
     "q20_decayed": f"WITH {_MSG}, {_bm25_sql('msg')}, {_SCALED}, aged AS (SELECT qid, id, round(scaled * CASE WHEN sec IS NULL THEN 1 ELSE exp(-0.693 * greatest(0, {NOW} - sec) / 604800) END, 4) AS score FROM scaled JOIN msg USING (id)) {_top_sql('score', 10, 'aged', 'qid, id, score, rank')}",
     "q22_session_cap": f"""WITH {_MSG}, {_bm25_sql('msg')}, owned AS (SELECT qid, id, session, round(bm25, 4) AS score FROM bm JOIN msg USING (id)),
       capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, session ORDER BY score DESC, id) AS k FROM owned) WHERE session IS NULL OR k <= 2) {_top_sql('score', 8, 'capped', 'qid, id, session, score, rank')}""",
-    "q58_eval_metrics": f"""WITH {_DOC}, {_bm25_sql('docs')}, pool AS ({_top_sql('round(bm25, 4)', 5, 'bm', 'qid, id, rank')}),
-      hit AS (SELECT qid, min(rank) AS first FROM pool JOIN docs USING (id) JOIN bench ON item_id = qid WHERE contains(text, substring(answer, 1, 40)) GROUP BY qid)
-      SELECT split, count(*) AS n_items, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END), 4) AS p_at_1, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS recall_at_5,
-             round(avg(coalesce(1.0 / first, 0.0)), 4) AS mrr FROM bench LEFT JOIN hit ON qid = item_id GROUP BY split""",
+    "q58_eval_metrics": f"""WITH {_DOC}, {_bm25_sql('docs')}, pool AS ({_top_sql('round(bm25, 4)', 5, 'bm', 'qid, id, rank')}), holds AS {_covering_sql('docs', 'bench', 'item_id', 'answer')},
+      hit AS (SELECT qid, min(rank) AS first FROM pool JOIN holds USING (qid, id) GROUP BY qid),
+      items AS (SELECT split, first, item_id IN (SELECT qid FROM holds) AS positive, item_id IN (SELECT qid FROM pool) AS any_hit FROM bench LEFT JOIN hit ON qid = item_id)
+      SELECT split, count(*) AS n_items, count(*) FILTER (WHERE positive) AS n_positive, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE positive), 4) AS p_at_1,
+             round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE positive), 4) AS recall_at_5, round(avg(coalesce(1.0 / first, 0.0)) FILTER (WHERE positive), 4) AS mrr,
+             round(avg(CASE WHEN any_hit THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT positive), 4) AS negative_hit_rate FROM items GROUP BY split""",
+    "q59_threshold_sweep": f"""WITH {_DOC}, {_bm25_sql('docs')}, {_SCALED}, holds AS {_covering_sql('docs', 'bench', 'item_id', 'answer')},
+      swept AS (SELECT floor, count(*) AS n_hits, count(DISTINCT qid) AS n_questions, count(DISTINCT CASE WHEN (qid, id) IN (SELECT (qid, id) FROM holds) THEN qid END) AS n_answers
+        FROM (SELECT qid, id, round(scaled, 4) AS s FROM scaled), (SELECT unnest([{', '.join(f'{f}::DOUBLE' for f in FLOORS)}]) AS floor) WHERE s >= floor GROUP BY floor),
+      l AS (SELECT *, n_answers = max(n_answers) OVER () AS lossless FROM swept) SELECT *, lossless AND floor = max(floor) FILTER (WHERE lossless) OVER () AS chosen FROM l""",
+    "q60_hard_negatives": f"""WITH {_DOC}, {_bm25_sql('docs')}, pool AS ({_top_sql('round(bm25, 4)', 5, 'bm', 'qid, id, rank')}), neg AS (SELECT item_id, unnest(negatives) AS n FROM bench),
+      a AS {_covering_sql('docs', 'bench', 'item_id', 'answer')}, w AS (SELECT DISTINCT qid, id FROM {_covering_sql('docs', 'neg', 'item_id', 'n')}),
+      f AS (SELECT qid, min(rank) AS first FROM pool JOIN a USING (qid, id) GROUP BY qid),
+      u AS (SELECT pool.qid, count(*) AS n_above FROM pool JOIN w USING (qid, id) LEFT JOIN f ON f.qid = pool.qid WHERE first IS NULL OR rank < first GROUP BY pool.qid),
+      t AS (SELECT split, first, n_above, item_id IN (SELECT qid FROM a) AS g, coalesce(regexp_matches(lower(answer), '{CORRECTIONS}'), false) AS c, item_id IN (SELECT qid FROM w) AS x
+            FROM bench LEFT JOIN f ON f.qid = item_id LEFT JOIN u ON u.qid = item_id),
+      d AS (SELECT *, g AND NOT c AS decided, g AND NOT c AND x AS contested, coalesce(g AND NOT c AND first <= 3 AND n_above IS NULL, false) AS passed FROM t)
+      SELECT split, count(*) AS n_items, count(*) FILTER (WHERE decided) AS n_decided, count(*) FILTER (WHERE g AND c) AS n_undecidable, count(*) FILTER (WHERE NOT g) AS n_ungrounded, count(*) FILTER (WHERE contested) AS n_contested,
+        round(count(*) FILTER (WHERE decided AND first IS NOT NULL) / nullif(count(*) FILTER (WHERE decided), 0), 4) AS answer_found, round(count(*) FILTER (WHERE decided AND first <= 3) / nullif(count(*) FILTER (WHERE decided), 0), 4) AS answer_at_3,
+        list_sort(list(first) FILTER (WHERE decided AND first IS NOT NULL))[(count(*) FILTER (WHERE decided AND first IS NOT NULL) // 2 + 1)::INT] AS median_rank,
+        round(count(*) FILTER (WHERE passed) / nullif(count(*) FILTER (WHERE decided), 0), 4) AS clean_rate, round(count(*) FILTER (WHERE passed AND contested) / nullif(count(*) FILTER (WHERE contested), 0), 4) AS contested_clean_rate FROM d GROUP BY split""",
+    "q06_lexical_dismax": f"""WITH {_FCT}, {_lexical_sql('fct')}, s AS (SELECT qid, id, round(score, 4) AS score FROM lex), b AS (SELECT qid, count(*) FILTER (WHERE score < 0.4) AS n_below FROM s GROUP BY qid)
+      SELECT qid, id, score, rank, n_below FROM ({_top_sql('score', 10, '(SELECT * FROM s WHERE score >= 0.4)', 'qid, id, score, rank')}) JOIN b USING (qid)""",
+    "q07_rescue": f"""WITH {_FCT}, {_bm25_sql('fct')}, {_SCALED}, {_lexical_sql('fct')}, h AS ({_top_sql('score', 5, f'(SELECT qid, id, round(scaled, 4) AS score FROM scaled WHERE round(scaled, 4) >= {FLOOR})', 'qid, id, rank')}),
+      x AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS nth FROM lex WHERE score >= 1 AND (qid, id) NOT IN (SELECT (qid, id) FROM h))
+      SELECT qid, id, rank, false AS rescued FROM h UNION ALL SELECT qid, id, coalesce(last, 0) + nth, true FROM x LEFT JOIN (SELECT qid, max(rank) AS last FROM h GROUP BY qid) USING (qid) WHERE coalesce(last, 0) + nth <= 8""",
+    "q16_cross_layer": f"""WITH {_FCT}, {_MSG}, {_layered('f', 'fct')}, {_layered('m', 'msg')},
+      fk AS (SELECT qid, coalesce(source_rowid, -r.id) AS id, min(rank) AS rank FROM ({_top_sql('score', 10, '(SELECT * FROM f_s WHERE score >= 0.1)', 'qid, id, rank')}) r JOIN facts ON fact_id = r.id GROUP BY 1, 2),
+      ch AS (SELECT qid, id, rank FROM fk UNION ALL SELECT qid, id, rank FROM ({_top_sql('score', 10, '(SELECT * FROM m_s WHERE score >= 0.1)', 'qid, id, rank')})),
+      p AS (SELECT qid, count(*) / 61 AS most FROM (SELECT DISTINCT qid, 'f' FROM fk UNION ALL SELECT DISTINCT qid, 'm' FROM m_s WHERE score >= 0.1) GROUP BY qid),
+      z AS (SELECT qid, id, round(least(1.0, sum(1 / (60 + rank)) / any_value(most)), 4) AS fused, count(*) AS n_channels FROM ch JOIN p USING (qid) GROUP BY qid, id)
+      {_top_sql('fused', 10, 'z', 'qid, id AS key, fused, n_channels, rank')}""",
 }
 ORACLE["q08_rank_fusion"] = _fusion_sql(0.5, 0.5, False).replace(
     "SELECT qid, sum(w) / 61 AS most FROM (SELECT DISTINCT qid, weight AS w, rank > 0 AS r FROM (SELECT qid, weight, rank FROM both_channels)) GROUP BY qid",

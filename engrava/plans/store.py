@@ -57,9 +57,11 @@ def q30_index_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q34_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of entities named together in at least two distinct candidates."""
-    named = store.latest_exports(read_table(spark, sf_dir, "candidates", "id", "entities", "updated_at", "imported_at", "summary"))
-    sets = named.select(F.array_sort(F.array_distinct(F.filter("entities", lambda e: e.isNotNull()))).alias("es")).where(F.size("es") > 1)
+    """Pairs of concepts (tags and entities) named together in at least two notes or distinct candidates."""
+    named = store.latest_exports(read_table(spark, sf_dir, "candidates", "id", "entities", "tags", "updated_at", "imported_at", "summary"))
+    none = F.array().cast("array<string>")
+    sets = named.select(F.concat(F.coalesce("entities", none), F.coalesce("tags", none)).alias("es")).unionByName(read_table(spark, sf_dir, "documents", "text").where("text IS NOT NULL").select(notes.tags(F.col("text")).alias("es")))
+    sets = sets.select(F.array_sort(F.array_distinct(F.filter("es", lambda e: e.isNotNull()))).alias("es")).where(F.size("es") > 1)
     pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.filter("es", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("entity_a"), F.col("p.b").alias("entity_b")).agg(F.count("*").alias("weight")).where("weight >= 2")
 

@@ -27,7 +27,12 @@ def _field(name: str) -> str:
 
 _BODY = r"regexp_replace(text, '^---\n(?s:.*?)\n---(?:\n|$)', '')"
 _TITLE = rf"coalesce({_field('title')}, nullif(regexp_extract(chr(10) || {_BODY} || chr(10), '\n# +([^\n]+)\n', 1), ''), substring(trim({_BODY}), 1, 40))"
-_TAGS = rf"list_distinct(list_filter(list_transform(string_split(regexp_extract(coalesce({_field('tags')}, ''), '^\[(.*)\]$', 1), ','), lambda t: trim(t)), lambda t: t <> ''))"
+def flow(name: str) -> str:
+    cut = rf"list_filter(list_transform(string_split(regexp_extract(coalesce({_field(name)}, ''), '^\[(.*)\]$', 1), ','), lambda t: trim(t)), lambda t: t <> '')"
+    return f"list_filter({cut}, lambda t, i: list_position({cut}, t) = i)"
+
+
+_TAGS = flow("tags")
 _LINKS = r"list_distinct(list_transform(regexp_extract_all(text, '\[\[([^\]\[|#]+)(?:#[^\]\[|]*)?(?:\|[^\]\[]*)?\]\]', 1), lambda t: trim(string_split(t, '/')[-1])))"
 _LATEST = """latest AS (SELECT id, count(*) AS n_exports, arg_max({x}, (coalesce(updated_at, ''), coalesce(imported_at, ''), coalesce(summary, ''))) AS x FROM candidates WHERE id IS NOT NULL GROUP BY id)"""
 _WEIGHT = r"(length({0}) + 2 * length(regexp_replace({0}, '[^\x{{4E00}}-\x{{9FFF}}]', '', 'g')))"
@@ -46,8 +51,8 @@ ORACLE = {
     "q30_index_diff": """WITH s AS (SELECT path, coalesce(epoch_us(updated) / 1e6, 0.0) AS m FROM documents),
         i AS (SELECT source_path AS path, max(epoch_us(try_cast(updated_at AS TIMESTAMPTZ)) / 1e6) AS i FROM candidates WHERE source_path IS NOT NULL GROUP BY 1)
         SELECT CASE WHEN i IS NULL THEN 'missing' WHEN m IS NULL THEN 'orphaned' WHEN abs(m - i) > 0.5 THEN 'stale' ELSE 'current' END AS state, count(*) AS n_paths FROM s FULL JOIN i USING (path) GROUP BY 1""",
-    "q34_cooccurrence": f"""WITH {_LATEST.format(x="{'entities': entities}")}, e AS (SELECT DISTINCT id, unnest(x.entities) AS e FROM latest)
-        SELECT a.e AS entity_a, b.e AS entity_b, count(*) AS weight FROM e a JOIN e b ON a.id = b.id AND a.e < b.e GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "q34_cooccurrence": f"""WITH {_LATEST.format(x="{'es': list_concat(coalesce(entities, []), coalesce(tags, []))}")}, e AS (SELECT DISTINCT o, unnest(es) AS e FROM (SELECT 'c' || id AS o, x.es AS es FROM latest UNION ALL SELECT 'd' || doc_id, {_TAGS} FROM documents WHERE text IS NOT NULL))
+        SELECT a.e AS entity_a, b.e AS entity_b, count(*) AS weight FROM e a JOIN e b ON a.o = b.o AND a.e < b.e GROUP BY 1, 2 HAVING count(*) >= 2""",
     "q35_topics": f"""SELECT origin, tag, count(*) AS n FROM (SELECT 'notes' AS origin, unnest({_TAGS}) AS tag FROM documents UNION ALL SELECT 'candidates', unnest(tags) FROM candidates) WHERE tag IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3""",
     "q36_session_share": f"""WITH s AS (SELECT {_SID} AS session_id, count(*) AS n FROM messages GROUP BY 1), w AS (SELECT sum(n)::BIGINT AS n_rows FROM s)
         SELECT session_id, n AS n_top, n_rows, round(n / n_rows, 4) AS share, n / n_rows >= 0.5 AND n_rows >= 500 AS warn FROM s, w WHERE session_id IS NOT NULL ORDER BY n DESC, session_id DESC LIMIT 1""",

@@ -1,53 +1,65 @@
-"""Session helpers: lineage cuts in shared storage and partition counts."""
+"""Session helpers: lineage cuts in shared storage, their removal, and checked sizes."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a local folder is made and remembered for the session.
+    Where the setting is absent, a session in one process gets a folder of its own; with executors elsewhere that would lose
+    data, so it raises ``ValueError``.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    kept = spark.conf.get("engrava.local.checkpoint.dir", None)
-    if not kept:
-        kept = "file://" + tempfile.mkdtemp(prefix="spark-engrava-", dir="/tmp")
-        spark.conf.set("engrava.local.checkpoint.dir", kept)
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    kept = "file://" + tempfile.mkdtemp(prefix="spark-engrava-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", kept)
     return kept
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: the plan is cut, and lost executors cost no recomputation."""
+    """Write ``df`` once to the shared folder and read it back: the plan is cut, and lost executors cost no recomputation. See ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/engrava-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._engrava_path = path
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table made by ``materialise`` that no later plan reads."""
-    path = getattr(df, "_engrava_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``materialise`` writes within, on leaving: plans made within must have been run by then."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        for name in _written[first:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _written[first:]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def is_small(df: DataFrame, most: int = 100_000) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is: the same equi-join, by a shuffle."""
+    return F.broadcast(df) if is_small(df, most) else df

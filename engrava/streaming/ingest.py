@@ -35,6 +35,19 @@ def stored(spark: SparkSession, table: str, like: DataFrame) -> DataFrame | None
     return spark.read.schema(like.schema.add("batch", "long")).parquet(table)
 
 
-def usage_counters(stream: DataFrame, key: str, time: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Hits and last use of each key, kept in an in-memory table in complete mode."""
-    return store.usage(stream, key, time).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def usage_counters(stream: DataFrame, key: str, time: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Hits and last use of each key (``key``, ``hits``, ``last_used``), in the Parquet folder ``table``.
+
+    The counters are Spark's state; each batch writes the keys that changed into a folder of its own, which a replay of the
+    batch overwrites. ``current_usage`` reads the latest row of each key.
+    """
+
+    def write(changed: DataFrame, epoch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{table}/batch={epoch}")
+
+    return store.usage(stream, key, time).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_usage(spark: SparkSession, table: str) -> DataFrame:
+    """The latest counters of each key that ``usage_counters`` has written: counters only grow."""
+    return spark.read.parquet(table).groupBy("key").agg(F.max("hits").alias("hits"), F.max("last_used").alias("last_used"))
