@@ -28,7 +28,13 @@ def p5_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(messages).select("id", "root", "position", "parent")
 
 
-QUERIES = {"p5_found": p5_found, "p5_reasons": p5_reasons, "p5_positions": p5_positions}
+def p5_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of the conversations that stay, root to leaf, with the fingerprint of their texts."""
+    turns = conversations.conversations(read_table(spark, sf_dir, "messages", *MESSAGE_COLUMNS))
+    return turns.select("session_id", "position", "role", "id", F.md5("content").alias("content_md5"))
+
+
+QUERIES = {"p5_conversations": p5_conversations, "p5_found": p5_found, "p5_reasons": p5_reasons, "p5_positions": p5_positions}
 
 _TURNS = (
     _KEYED
@@ -51,5 +57,6 @@ _TURNS = (
 ORACLE = {
     "p5_found": _TURNS + "SELECT session_id FROM reasoned WHERE reason IS NOT NULL",
     "p5_reasons": _TURNS + "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n_sessions FROM reasoned GROUP BY 1",
+    "p5_conversations": _TURNS + "SELECT sid AS session_id, pos - 1 AS position, prole AS role, o.id, md5(m.content) AS content_md5 FROM ordered o JOIN messages m ON m.id = o.id WHERE sid IN (SELECT session_id FROM reasoned WHERE reason IS NULL)",
     "p5_positions": _TURNS + "SELECT id, root, pos - 1 AS position, parent FROM ordered",
 }

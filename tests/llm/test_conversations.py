@@ -68,3 +68,20 @@ def test_empty_and_ties(spark):
     assert conversations.judged_sessions(spark.createDataFrame([], MESSAGES)).count() == 0
     tied = spark.createDataFrame([(2, "s", "assistant", "a" * 50000, None, "a" * 64, ""), (1, "s", "user", "q", None, "b" * 64, "")], MESSAGES)
     assert [r.dropped for r in conversations.judged_sessions(tied).collect()] == [False]
+
+
+def test_a_session_over_many_partitions(spark):
+    rng = random.Random(8)
+    data = [(i, "hot", rng.choice(("user", "assistant")), "t", float(rng.randrange(300)), None, "") for i in range(900)] + [(1000 + i, f"s{i}", "user", "t", 1.0, None, "") for i in range(50)]
+    table = spark.createDataFrame([(i, s, r, f"{c}{i}", t, f"{i:064x}", x) for i, s, r, c, t, _, x in data], MESSAGES)
+    order = sorted((t, i) for i, s, _, _, t, _, _ in data if s == "hot")
+    got = {r.id: (r.root, r.position, r.parent) for r in conversations.rebuild(table).where("sid = 'hot'").collect()}
+    assert got == {i: (order[0][1], k, order[k - 1][1] if k else None) for k, (_, i) in enumerate(order)}
+    cut = conversations.segments(conversations.link(conversations.kept_turns(table)))
+    assert cut.where("sid = 'hot'").count() > 1 and cut.groupBy().sum("n").first()[0] == 950
+
+
+def test_steps_count(spark):
+    nodes = spark.createDataFrame([(1, None, None), (2, 1, 10), (3, 2, 5), (4, 9, 7)], "id bigint, parent bigint, step bigint")
+    got = {r.id: (r.root, r.depth, r.state) for r in conversations.resolve(nodes).collect()}
+    assert got == {1: (1, 0, "rooted"), 2: (1, 10, "rooted"), 3: (1, 15, "rooted"), 4: (4, 0, "orphan")}
