@@ -2,12 +2,12 @@
 
 Names follow information-theoretic sanitisation. Known persons are the protected entities; the corpus tells for every term
 beside them how much it reveals: the log ratio of its share of occurrences beside a protected term to that share over all
-terms. Terms above the disclosure threshold are protected too, known or not. Numbers, addresses and mail have forms of their own.
+terms. Terms above the disclosure threshold are protected too, known or not, and reveal further terms in turn until none are
+found. Numbers, addresses and mail have forms of their own.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engrava.session import is_small, materialise, small
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
@@ -100,7 +102,7 @@ def fixed_spans(text: str) -> list[tuple[int, int, str]]:
 def name_spans(text: str, given: frozenset[str], surnames: frozenset[str]) -> list[tuple[int, int]]:
     """Given name with surname in any order and case, with an initial between, or a surname with a title or initial."""
     words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)]
-    low = [w.lower() for w, _, _ in words]
+    low = [lowered(w) for w, _, _ in words]
     spans = []
 
     def gap(i: int) -> str:
@@ -130,6 +132,12 @@ def name_spans(text: str, given: frozenset[str], surnames: frozenset[str]) -> li
     return spans
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character where the whole text would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _automaton(terms):
     import ahocorasick
 
@@ -153,10 +161,10 @@ def _hits(found, low: str) -> Iterator[tuple[int, int, str]]:
         yield a, b, term
 
 
-_NEXT = re.compile(r"\s+(?:[A-Za-z]\.\s+)?([^\W\d_]{3,})")
-_BEFORE = re.compile(r"([^\W\d_]{3,})\s+(?:[A-Za-z]\.\s+)?$")
+_NEXT = re.compile(r"\s+(?:[A-Za-z]\.\s+)?([^\W\d_]{2,})")
+_BEFORE = re.compile(r"([^\W\d_]{2,})\s+(?:[A-Za-z]\.\s+)?$")
 
-_COMMA = re.compile(r"([^\W\d_]{4,}),\s+$")
+_COMMA = re.compile(r"([^\W\d_]{2,}),\s+$")
 
 
 def _beside(texts: DataFrame, given: set[str], surnames: set[str]) -> DataFrame:
@@ -167,9 +175,7 @@ def _beside(texts: DataFrame, given: set[str], surnames: set[str]) -> DataFrame:
         leads, tails, n = _automaton(lead), _automaton(tail), Counter()
         for pdf in batches:
             for text in pdf["content"]:
-                low = text.lower()
-                if len(low) != len(text):
-                    continue
+                low = lowered(text)
                 for a, b, t in _hits(leads, low):
                     m = _NEXT.match(text, b)
                     # after a title only a capital tells a name
@@ -187,44 +193,58 @@ def _beside(texts: DataFrame, given: set[str], surnames: set[str]) -> DataFrame:
     return texts.mapInPandas(count, "term string, role string, c bigint").groupBy("term", "role").agg(F.sum("c").alias("c"))
 
 
-def _occurrences(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """How often each term occurs in the corpus, and the number of all words (as the empty term)."""
+def _occurrences(texts: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """How often each of ``terms`` (``term``) occurs in the corpus: ``term``, ``n``. Up to ``most`` terms are sent to the tasks; beyond that all words are counted and joined."""
+    if not is_small(terms, most):
+        words = texts.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}&&[^\x{3400}-\x{9FFF}]]+)"), 1)).alias("term"))
+        return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    listed = [r.term for r in terms.collect()]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, n = _automaton(terms), Counter()
+        found, n = _automaton(listed), Counter()
         for pdf in batches:
             for text in pdf["content"]:
-                n[""] += text.count(" ") + 1
-                for _, _, t in _hits(found, text.lower()):
+                for _, _, t in _hits(found, lowered(text)):
                     n[t] += 1
         yield pd.DataFrame(list(n.items()), columns=["term", "n"])
 
     return texts.mapInPandas(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosure(texts: DataFrame, persons: list[str], *, threshold_bits: float = 8.0, share: float = 0.2, least: int = 1, max_terms: int = 200_000) -> tuple[frozenset[str], frozenset[str]]:
+def disclosure(texts: DataFrame, persons: list[str], *, threshold_bits: float = 8.0, share: float = 0.2, least: int = 1, rounds: int = 8, max_terms: int = 200_000) -> tuple[frozenset[str], frozenset[str]]:
     """Protected given names and surnames (lower case): those of ``persons`` and the terms that reveal persons.
 
     A term's disclosure is log2 of (its share of occurrences beside a protected term) over (that share for all words). Terms are
     protected if they occur so at least ``least`` times, in at least ``share`` of their occurrences, with at least
-    ``threshold_bits``. Counts are over the whole corpus. Names are few; more than ``max_terms`` raise ``ValueError``.
+    ``threshold_bits``. Protected terms reveal further ones, until a round finds none (or ``rounds`` are over). Counts are over
+    the whole corpus and stay in Spark; only protected names reach the driver, and more than ``max_terms`` raise ``ValueError``.
     """
     known = [p.lower().split() for p in persons if p and len(p.split()) >= 2]
     given, surnames = {p[0] for p in known}, {p[-1] for p in known}
     if not given:
         return frozenset(), frozenset()
-    seen = [(r.term, r.role, r.c) for r in _beside(texts, given, surnames).where(F.col("c") >= least).limit(max_terms + 1).collect()]
-    if len(seen) > max_terms or len(given) + len(surnames) > max_terms:
-        raise ValueError("more names than max_terms: raise it and the memory of the tasks")
-    new = sorted({t for t, r, _ in seen if t not in (given if r == "given" else surnames) and t not in TITLES})
-    if new:
-        n = {r.term: r.n for r in _occurrences(texts, new).collect()}
-        base = max(1, sum(c for _, _, c in seen)) / max(1, n.get("", 1))
-        for term, role, c in seen:
-            if term in n and term not in TITLES:
-                own = c / max(c, n[term])
-                if own >= share and math.log2(own / base) >= threshold_bits:
-                    (given if role == "given" else surnames).add(term)
+    spark = texts.sparkSession
+    n_words = texts.agg(F.sum(F.length("content") - F.length(F.replace("content", F.lit(" "))) + 1)).first()[0] or 1
+    ruled_out = base = None
+    for _ in range(rounds):
+        beside = materialise(_beside(texts, given, surnames).where(F.col("c") >= least), "beside")
+        if base is None:  # as the known persons alone set it
+            base = max(1, beside.agg(F.sum("c")).first()[0] or 0) / n_words
+        protected = spark.createDataFrame([(t, "given") for t in given] + [(t, "surname") for t in surnames] + [(t, r) for t in TITLES for r in ("given", "surname")], "term string, role string")
+        new = beside.join(small(protected), ["term", "role"], "left_anti")
+        if ruled_out is not None:
+            # a term that fell short before, with no more occurrences beside names, falls short again
+            new = new.join(ruled_out.select("term", "role", "c"), ["term", "role", "c"], "left_anti")
+        seen = materialise(new.join(_occurrences(texts, new.select("term").distinct(), max_terms), "term").withColumn("own", F.col("c") / F.greatest("c", "n")), "seen")
+        telling = (F.col("own") >= share) & (F.log2(F.col("own") / base) >= threshold_bits)
+        names = seen.where(telling).select("term", "role").limit(max_terms + 1).collect()
+        if len(names) + len(given) + len(surnames) > max_terms:
+            raise ValueError("more names than max_terms: raise it and the memory of the tasks")
+        if not names:
+            break
+        ruled_out = seen.where(~telling) if ruled_out is None else ruled_out.unionByName(seen.where(~telling))
+        for r in names:
+            (given if r.role == "given" else surnames).add(r.term)
     return frozenset(given), frozenset(surnames)
 
 
@@ -233,22 +253,29 @@ def sanitise(records: DataFrame, entities: DataFrame, **limits) -> DataFrame:
 
     ``records`` needs ``rec_id`` and ``content``, ``entities`` ``entity`` and ``placeholder`` (persons are those whose placeholder
     names a PERSON); further columns are not read. Records without findings and with null or empty content give no row; each
-    repeated record gives its own. Texts are read whole. ``entities`` is a fixed list, read to the driver up to ``max_terms``.
+    repeated record gives its own. Texts are read whole. ``entities`` is a fixed list, read to the driver; more than
+    ``max_terms`` persons raise ``ValueError``. A person of one word is found as that word, one in ideographs anywhere.
     """
-    texts = records.where(F.col("content").isNotNull() & (F.length("content") > 3)).select("rec_id", "content")
-    persons = [r.entity for r in entities.where(F.col("placeholder").contains("PERSON")).select("entity").distinct().limit(limits.get("max_terms", 200_000)).collect()]
+    texts = records.where(F.length("content") > 0).select("rec_id", "content")
+    most = limits.get("max_terms", 200_000)
+    persons = [r.entity for r in entities.where(F.col("placeholder").contains("PERSON") & (F.length(F.trim("entity")) > 0)).select("entity").distinct().limit(most + 1).collect()]
+    if len(persons) > most:
+        raise ValueError("more persons than max_terms: raise it and the memory of the tasks")
+    # names of one word, or written without spaces, have no parts to meet: they are searched whole
+    whole = sorted({p.strip().lower() for p in persons if len(p.split()) == 1})
     given, surnames = disclosure(texts.select("content"), persons, **limits)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        named = _automaton(surnames)
+        named, alone = _automaton(surnames), _automaton(whole)
         for pdf in batches:
             rows = []
             for rec_id, text in zip(pdf["rec_id"], pdf["content"], strict=True):
                 spans = fixed_spans(text)
-                if next(_hits(named, text.lower()), None):
-                    for a, b in name_spans(text, given, surnames):
-                        if all(b <= x or a >= y for x, y, _ in spans):
-                            spans.append((a, b, "name"))
+                low = lowered(text)
+                names = name_spans(text, given, surnames) if next(_hits(named, low), None) else []
+                for a, b in names + sorted(((a, b) for a, b, _ in _hits(alone, low)), key=lambda s: s[0] - s[1]):
+                    if all(b <= x or a >= y for x, y, _ in spans):
+                        spans.append((a, b, "name"))
                 if not spans:
                     continue
                 out, at = [], 0

@@ -34,3 +34,20 @@ def test_nothing(spark):
     records = spark.createDataFrame([], "rec_id string, content string")
     entities = spark.createDataFrame([], "entity string, placeholder string")
     assert privacy.sanitise(records, entities).count() == 0
+
+
+def test_names_of_one_word_and_short_texts(spark):
+    entities = spark.createDataFrame([("王小明", "[PERSON_1]"), ("Cher", "[PERSON_2]"), ("Anna Schmidt", "[PERSON_3]"), ("王小", "[PERSON_4]"), ("", "[PERSON_5]"), (None, "[PERSON_6]")], "entity string, placeholder string")
+    texts = {1: "今天王小明来了", 2: "I met Cher, then left", 3: "Cherry pie", 4: "王小明", 5: "İstanbul: Anna Schmidt came", 6: "ok", 7: "Wu", 8: "王小说"}
+    got = {r.rec_id: r.clean for r in privacy.sanitise(spark.createDataFrame([(str(k), v) for k, v in texts.items()], "rec_id string, content string"), entities).collect()}
+    assert got == {"1": "今天[NAME]来了", "2": "I met [NAME], then left", "4": "[NAME]", "5": "İstanbul: [NAME] came", "8": "[NAME]说"}
+
+
+def test_names_reveal_further_names(spark):
+    texts = ["Elena Kerrnak wrote."] * 3 + ["Elena Wen wrote."] * 3 + ["Tarek Wen wrote."] * 3 + ["Tarek Li wrote."] * 3 + ["Plain words about the plan of the week and the work on it."] * 1200
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "rec_id string, content string")
+    entities = spark.createDataFrame([("Elena Kerrnak", "[PERSON_1]")], "entity string, placeholder string")
+    assert {r.rec_id for r in privacy.sanitise(rows, entities).collect()} == {str(i) for i in range(12)}
+    given, surnames = privacy.disclosure(rows.select("content"), ["Elena Kerrnak"])
+    assert given == {"elena", "tarek"} and surnames == {"kerrnak", "wen", "li"}
+    assert (given, surnames) == privacy.disclosure(rows.select("content"), ["Elena Kerrnak"], max_terms=8)
