@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engrava.operators import retrieval
+from engrava.session import materialise, small
+
 #: An ideograph, or a run of letters and digits of other scripts.
 TOKEN = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 #: Markup inside words, dropped before tokens are cut: emphasis marks, link targets, tags, soft hyphens, broken-line hyphens.
@@ -141,16 +144,19 @@ def leaks(documents: DataFrame, items: DataFrame, *, share: float = 0.5, broadca
     ``documents`` has ``doc_id`` and ``text``, ``items`` has ``item_id`` and ``text``; further columns are not read. Case,
     punctuation, markup, line breaks and the order of pieces do not matter. Winnowing guarantees that every shared span of
     ``k + w - 1`` tokens gives a common fingerprint; hits are extended over small changes. Item fingerprints are broadcast only
-    if they are at most ``broadcast_rows``; beyond that the join shuffles on the fingerprint. Null and empty texts hold nothing;
+    if they are at most ``broadcast_rows``; beyond that the join shuffles on the fingerprint. Items too short for a fingerprint are
+    found where their tokens stand whole and in order. Null and empty texts hold nothing;
     repeated documents each count by their own id; an empty side gives an empty result.
     """
     wanted = fingerprint_rows(items, "item_id").select("item_id", "fp", F.col("at").alias("item_at"))
     if wanted.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
     hits = fingerprint_rows(documents, "doc_id").join(wanted, "fp")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set(F.struct(F.col("at").alias("d"), F.col("item_at").alias("i")))).alias("seeds"))
+    pairs = materialise(hits.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set(F.struct(F.col("at").alias("d"), F.col("item_at").alias("i")))).alias("seeds")), "seeds")
     answers = items.where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("item_text"))
-    found = pairs.join(documents.where(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id").join(answers, "item_id")
+    # only the texts of documents with a hit are shuffled
+    there = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(small(pairs.select("doc_id").distinct(), broadcast_rows), "doc_id", "left_semi")
+    found = pairs.join(there, "doc_id").join(small(answers, 10_000), "item_id")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,4 +168,21 @@ def leaks(documents: DataFrame, items: DataFrame, *, share: float = 0.5, broadca
                 rows.append((r.doc_id, r.item_id, float(mask.mean()) if len(mask) else 0.0, int((edges[1::2] - edges[::2]).max(initial=0))))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "longest"])
 
-    return found.mapInPandas(extend, "doc_id bigint, item_id bigint, share double, longest int").where(F.col("share") >= share)
+    long = found.mapInPandas(extend, "doc_id bigint, item_id bigint, share double, longest int").where(F.col("share") >= share)
+    short = spaced_tokens(items, "item_id").where(~F.col("marked")).select("item_id", "part")
+    if short.isEmpty():
+        return long
+    texts = spaced_tokens(documents, "doc_id").select(F.col("doc_id").alias("id"), F.col("part").alias("text"))
+    whole = retrieval.containing(texts, short.select("part")).join(small(short), "part")
+    return long.unionByName(whole.select(F.col("id").alias("doc_id"), "item_id", F.lit(1.0).alias("share"), (F.size(F.split(F.trim("part"), " "))).alias("longest")))
+
+
+def spaced_tokens(texts: DataFrame, key: str) -> DataFrame:
+    """The tokens of each text that has some, each between spaces (``part``), and whether the text is long enough to be ``marked`` by a fingerprint."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = [tokens(t) for t in pdf["text"]]
+            yield pd.DataFrame({key: pdf[key], "part": [" " + " ".join(w) + " " if w else "" for w in words], "marked": [len(fingerprints(w, {})[0]) > 0 for w in words]})
+
+    return texts.where(F.col("text").isNotNull()).select(key, "text").mapInPandas(cut, f"{key} bigint, part string, marked boolean").where("part <> ''")

@@ -43,3 +43,9 @@ def test_every_long_shared_span_is_met():
         a = leakage.fingerprints(text(rng, rng.randrange(9)) + span + text(rng, rng.randrange(9)), known)[0]
         b = leakage.fingerprints(text(rng, rng.randrange(9)) + span + text(rng, rng.randrange(9)), known)[0]
         assert set(a.tolist()) & set(b.tolist())
+
+
+def test_short_items_are_found_whole(spark):
+    d = spark.createDataFrame([(1, "We know: **Paris** is\ncapital of it."), (2, "paris is a capital"), (3, "sparis is capital"), (4, "数据库很好用吗"), (5, None)], "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, "Paris is capital"), (2, "数据库很好"), (3, "..."), (4, None)], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(d, i).collect()} == {(1, 1), (4, 2)}
