@@ -24,6 +24,9 @@ LEAST_RECALL = 0.9
 #: How far below the margin inner bins are still opened.
 OPEN_BELOW = 0.12
 
+#: The load of the leaves is estimated on one of so many rows.
+LOAD_SHARE = 8
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -207,7 +210,8 @@ def nearest(
 
     The index is a hierarchical k-means tree fitted on a bounded sample (``MOST_SAMPLED``); every row
     lives in the leaf of its best bin and visits further leaves, best bin first, as far as the margin and the number of visits
-    calibrated on the sample ask (``visits`` is where their number starts). The search inside a leaf is exact. Leaves with more than ``block`` rows are cut into blocks that meet pairwise.
+    calibrated on the sample ask (``visits`` is where their number starts). The search inside a leaf is exact. A leaf with more than ``block``
+    visits is cut: blocks of its homes meet blocks of its visits.
     """
     usable_rows = vectors.where(usable(F.col("vector"), width)).select("id", "vector")
     hashed = usable_rows.select("id", F.xxhash64("vector", F.lit(3)).alias("h1"), F.md5(F.concat_ws(",", "vector")).alias("h2"))
@@ -231,18 +235,19 @@ def nearest(
                 yield pd.DataFrame({"leaf": leaf, "id": part["id"].to_numpy()[row], "home": rank == 0, "vector": part["vector"].to_numpy()[row]})
 
     bins = indexed.mapInPandas(place, "leaf int, id bigint, home boolean, vector array<float>")
-    sizes = indexed.mapInPandas(_leaf_counts(shared), "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > block)
-    big = {r.leaf: -(-r.n // block) for r in sizes.collect()}  # at most max_leaves rows
-    once = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.col("home").alias("as_home"), F.lit(True).alias("as_other")))
-    tiles = once
+    # how a leaf is cut only balances the tasks: estimated on a share of the rows
+    some = indexed.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(LOAD_SHARE)) == 0)
+    loads = some.mapInPandas(_leaf_loads(shared), "leaf int, homes bigint, visits bigint").groupBy("leaf").agg((F.sum("homes") * LOAD_SHARE).alias("homes"), (F.sum("visits") * LOAD_SHARE).alias("visits"))
+    big = {r.leaf: (max(1, -(-r.homes // block)), -(-r.visits // block)) for r in loads.where(F.col("visits") > block).collect()}  # at most max_leaves rows
+    # the homes of a leaf are cut into blocks and its visits too; in a tile one block meets the other
+    pieces = [F.lit(1), F.lit(1)]
     if big:
-        # A big leaf is cut into blocks; in a tile the homes of one block meet all rows of another.
-        cut = F.coalesce(F.element_at(F.create_map(*[F.lit(int(v)) for kv in big.items() for v in kv]), F.col("leaf")), F.lit(1))
-        own, steps = F.pmod(F.xxhash64("id"), cut).cast("int"), F.sequence(F.lit(0), cut - 1)
-        other = F.transform(steps, lambda j: F.struct(j.alias("a"), own.alias("b"), (F.col("home") & (j == own)).alias("as_home"), F.lit(True).alias("as_other")))
-        homes = F.transform(F.filter(steps, lambda j: F.col("home") & (j != own)), lambda j: F.struct(own.alias("a"), j.alias("b"), F.lit(True).alias("as_home"), F.lit(False).alias("as_other")))
-        tiles = F.when(cut > 1, F.concat(other, homes)).otherwise(once)
-    spread = bins.withColumn("tile", F.explode(tiles)).select("leaf", "id", "vector", "tile.*")
+        for side in (0, 1):
+            pieces[side] = F.coalesce(F.element_at(F.create_map(*[F.lit(int(v)) for leaf, cut in big.items() for v in (leaf, cut[side])]), F.col("leaf")), F.lit(1))
+    own_a, own_b = F.pmod(F.xxhash64("id"), pieces[0]).cast("int"), F.pmod(F.xxhash64("id", F.lit(5)), pieces[1]).cast("int")
+    visit = F.transform(F.sequence(F.lit(0), pieces[0] - 1), lambda a: F.struct(a.alias("a"), own_b.alias("b"), (F.col("home") & (a == own_a)).alias("as_home"), F.lit(True).alias("as_other")))
+    lives = F.transform(F.filter(F.sequence(F.lit(0), pieces[1] - 1), lambda b: F.col("home") & (b != own_b)), lambda b: F.struct(own_a.alias("a"), b.alias("b"), F.lit(True).alias("as_home"), F.lit(False).alias("as_other")))
+    spread = bins.withColumn("tile", F.explode(F.concat(visit, lives))).select("leaf", "id", "vector", "tile.*")
 
     def best(ids: np.ndarray, i: np.ndarray, j: np.ndarray, cos: np.ndarray) -> pd.DataFrame:
         sort = np.lexsort((ids[j], -cos, i))
@@ -284,17 +289,20 @@ def nearest(
     return ranked.unionByName(_top(theirs.unionByName(own), k))
 
 
-def _leaf_counts(shared):
+def _leaf_loads(shared):
+    """How many rows of a task live in and visit each leaf."""
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grown = Tree(*shared.value)
-        total = np.zeros(len(grown.centres), dtype=np.int64)
+        homes, visits = np.zeros(len(grown.centres), dtype=np.int64), np.zeros(len(grown.centres), dtype=np.int64)
         for pdf in batches:
             for a in range(0, len(pdf), 2000):
                 x, norm = _unit(pdf["vector"].iloc[a : a + 2000])
-                _, leaf, _ = search(grown, (x / norm[:, None]).astype(np.float32), visits=1)
-                np.add.at(total, leaf, 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"leaf": at.astype(np.int32), "n": total[at]})
+                _, leaf, rank = search(grown, (x / norm[:, None]).astype(np.float32))
+                np.add.at(homes, leaf[rank == 0], 1)
+                np.add.at(visits, leaf, 1)
+        at = np.flatnonzero(visits)
+        yield pd.DataFrame({"leaf": at.astype(np.int32), "homes": homes[at], "visits": visits[at]})
 
     return count
 

@@ -67,3 +67,14 @@ def test_visits_widen_until_the_recall_is_reached(spark):
     want = brute(list(range(len(v))), v.astype(np.float64), 5, 0.86)
     got = {(r.id, r.other) for r in neighbours.nearest(table, width=4, leaf_size=20, visits=1).collect()}
     assert len(want & got) >= 0.99 * len(want)
+
+
+def test_recall_is_reached_in_few_dimensions(spark):
+    rng = np.random.default_rng(9)
+    v = (rng.normal(size=(3000, 3)) @ rng.normal(size=(3, 32)) + 0.02 * rng.normal(size=(3000, 32))).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vector array<float>")
+    want = brute(list(range(len(v))), v.astype(np.float64), 5, 0.86)
+    got = {(r.id, r.other) for r in neighbours.nearest(table, width=32, leaf_size=30, visits=2).collect()}
+    assert len(want & got) >= 0.99 * len(want)
+    cut = {(r.id, r.other) for r in neighbours.nearest(table, width=32, leaf_size=30, visits=2, block=50).collect()}
+    assert cut == got
