@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from engrava.session import materialise
 
+_LOG = logging.getLogger(__name__)
+
 #: Word nodes: words share this many buckets, so a table of node scores has a fixed size whatever the vocabulary.
 NODES = 1 << 17
 _UNIT = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
@@ -77,14 +80,16 @@ def _estimate(pdf: pd.DataFrame, score: np.ndarray, weight: np.ndarray, prior: f
     return np.where(down > 0, top / np.maximum(down, 1e-12), prior), owner, node
 
 
-def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = 6, shrink: float = 1.0, tolerance: float = 0.002) -> DataFrame:
+def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = 30, tolerance: float = 0.002) -> DataFrame:
     """An estimate for every document: ``doc_id``, ``level`` (1 plain to 5 demanding, in the labels' range).
 
     The graph joins documents and word nodes. Graded documents are clamped to the mean of their labels; in each round every node
-    takes the mean of its documents and every other document the weighted mean of its nodes (rare and telling nodes weigh more),
-    until the node scores move less than ``tolerance``. A node's sums are made in each partition before the shuffle; only the
-    table of ``NODES`` scores reaches the driver. In the end the raw means, which propagation draws together, are mapped to
-    levels by the line that fits the graded documents, each estimated without its own clamp.
+    takes the weighted mean of its documents and every other document that of its nodes, until the scores move less than
+    ``tolerance`` on average: the harmonic solution; a warning tells if ``rounds`` end before. Rare nodes weigh more to a document.
+    To a node its graded documents, with one more clamped to the mean of all labels, weigh as much together as its ungraded ones,
+    or few labels would drown. A node's sums are made in each partition before the shuffle; only the table of ``NODES`` scores
+    reaches the driver. In the end the raw means, which propagation draws together, are mapped to levels by the line that fits
+    the graded documents, each estimated from its nodes without its own part in them.
 
     Null or empty texts and graphs without any label take the mean label (3 where there is none); null levels and labels of
     unknown documents are ignored; several labels of a document are averaged. ``doc_id`` must be unique.
@@ -111,7 +116,7 @@ def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = 6, shrink:
                     graded_count += np.bincount(node[graded], minlength=NODES)
                     continue
                 value, owner, node = _estimate(pdf, s, w, prior)
-                value = np.where(np.isnan(label), value, label)
+                value = np.where(np.isnan(label), value, 0.0)  # the graded ones are summed once, before
                 total += np.bincount(node, weights=value[owner], minlength=NODES)
             at = np.flatnonzero((total != 0) | (count != 0))
             yield pd.DataFrame({"node": at.astype(np.int32), "total": total[at], "count": count[at], "graded": graded_count[at]})
@@ -125,24 +130,32 @@ def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = 6, shrink:
         return tuple(out)
 
     total, degree, graded = pass_over(None, None)
+    clamped, ungraded = prior + total / (graded + 1.0), degree - graded
+    # the first scores; the rounds forget them
     score = prior + total / (graded + 2.0)
-    # a node of one document only returns that document's own level and says nothing about others
+    # a node of one document only returns that document's own level and says nothing about others; ungraded nodes tell less
     weight = np.where(degree > 1, np.log1p(told.n / np.maximum(1.0, degree)), 0.0) * (0.2 + (graded > 0))
-    for _ in range(rounds):
-        sums = pass_over(score, weight)[0]
-        new = np.where(degree > 0, (sums + shrink * score) / (degree + shrink), score)
+    moved, done = np.inf, 0
+    while moved >= tolerance and done < rounds:
+        others = np.where(ungraded > 0, pass_over(score, weight)[0] / np.maximum(ungraded, 1.0), clamped)
+        new = np.where(graded > 0, 0.5 * clamped + 0.5 * others, np.where(ungraded > 0, others, score))
         moved = float(np.abs(new - score)[degree > 1].mean()) if (degree > 1).any() else 0.0
-        # graded documents keep their pull on their nodes, however many ungraded ones share them
-        score = np.where(graded > 0, 0.5 * (prior + total / (graded + 1.0)) + 0.5 * new, new)
-        if moved < tolerance:
-            break
-    shared = spark.sparkContext.broadcast((score, weight))
+        score, done = new, done + 1
+    if moved >= tolerance:
+        _LOG.warning("reading levels still move by %.4f after %d rounds", moved, rounds)
+    shared = spark.sparkContext.broadcast((score, weight, clamped, graded))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, w = shared.value
+        s, w, c, g = shared.value
         for pdf in batches:
-            value, _, _ = _estimate(pdf, s, w, prior)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "raw": value})
+            value, owner, node = _estimate(pdf, s, w, prior)
+            label = pdf["label"].to_numpy(dtype=float)
+            # a graded document's nodes without its clamp
+            own, n = label[owner] - prior, g[node]
+            rest = np.where(n > 1, s[node] - 0.5 * c[node] + 0.5 * (prior + ((c[node] - prior) * (n + 1) - own) / np.maximum(n, 1.0)), 2 * s[node] - c[node])
+            less = np.where(n > 1, w[node], w[node] / 6)  # it would be an ungraded node
+            top, down = np.bincount(owner, weights=np.nan_to_num(less * rest), minlength=len(pdf)), np.bincount(owner, weights=less, minlength=len(pdf))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "raw": np.where(np.isnan(label), value, np.where(down > 0, top / np.maximum(down, 1e-12), prior))})
 
     raw = graph.mapInPandas(place, "doc_id bigint, label double, raw double")
     fit = raw.where("label IS NOT NULL").agg(F.regr_slope("label", "raw").alias("slope"), F.regr_intercept("label", "raw").alias("cut")).first()
