@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engrava.plans import delivery, notes, recall, retrieval, store, store_sql
+from engrava.plans import delivery, notes, recall, retrieval, store, store_sql, upkeep
 
-QUERY_MODULES = (delivery, retrieval, store, recall, notes)
-SQL_MODULES = (delivery, retrieval, store_sql, recall, notes)
+QUERY_MODULES = (delivery, retrieval, store, recall, notes, upkeep)
+SQL_MODULES = (delivery, retrieval, store_sql, recall, notes, upkeep)
 
 
 def queries() -> dict:

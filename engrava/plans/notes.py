@@ -131,8 +131,9 @@ _FUSED = f"""bodies AS (SELECT id, body AS text FROM live WHERE length(trim(body
   fused AS (SELECT qid, id, coalesce(keyword, 0) AS keyword, coalesce(semantic, 0) AS semantic, round((coalesce(keyword, 0) * 0.4 + coalesce(semantic, 0) * 0.6) / 1.0, 4) AS score
     FROM kw FULL JOIN (SELECT qid, id, round(scaled, 4) AS semantic FROM scaled) USING (qid, id))"""
 _MODE = f"CASE WHEN len({_exact('q')}) > 0 THEN 'exact' " + " ".join(f"WHEN regexp_matches(lower(q), '{'|'.join(cues)}') THEN '{name}'" for name, cues in notes.CUES.items()) + " ELSE 'general' END"
-_SENTENCES = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(content, '([。！？；])', E'\\1\n', 'g'), '([.!?])(\s+[A-Z0-9\x{4E00}-\x{9FFF}])', E'\\1\n\\2', 'g'), '\n+'),
-  lambda s: trim(regexp_replace(trim(s), '[.!。！？；]+\s*$', ''))), lambda s: s <> '')"""
+_SPACE = f"'^[{text.INVISIBLE}]+|[{text.INVISIBLE}]+$', '', 'g'"
+_SENTENCES = rf"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(content, '([。！？；])', E'\\1\n', 'g'), '([.!?])(\s+[A-Z0-9\x{{4E00}}-\x{{9FFF}}])', E'\\1\n\\2', 'g'), '\n+'),
+  lambda s: regexp_replace(regexp_replace(regexp_replace(s, {_SPACE}), '[.!。！？；]+\s*$', ''), {_SPACE})), lambda s: s <> '')"""
 
 
 def _page() -> str:

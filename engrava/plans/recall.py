@@ -68,8 +68,7 @@ QUERIES = {n: f for n, f in dict(globals()).items() if n.startswith("q") and n[1
 def _gate_sql() -> str:
     text = "trim(content)"
     rules = " ".join(f"WHEN regexp_matches({text}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in gates.RULES)
-    kinds = (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+", r"\b[a-z]+_[a-z0-9_]+\b|\b[a-z]+[A-Z]\w+\b", r"\d", r"[A-Za-z]{3,}")
-    found = " + ".join(f"coalesce(regexp_matches(content, '{k}'), false)::INT" for k in kinds)
+    found = " + ".join(f"coalesce(regexp_matches(content, '{k}'), false)::INT" for k in gates.EVIDENCE)
     return f"""SELECT layer, CASE WHEN content IS NULL OR NOT regexp_matches(content, '[^{INVISIBLE}]') THEN 'empty' WHEN {_WEIGHT.format(text)} < 6 THEN 'short' WHEN length({text}) > 500 THEN 'long' {rules} ELSE 'admitted' END AS reason,
         count(*) AS n_texts, sum({found})::BIGINT AS evidence FROM (SELECT 'facts' AS layer, content FROM facts UNION ALL SELECT 'messages', content FROM messages) GROUP BY 1, 2"""
 

@@ -307,6 +307,11 @@ ORACLE = {
       SELECT split, count(*) AS n_items, count(*) FILTER (WHERE positive) AS n_positive, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END) FILTER (WHERE positive), 4) AS p_at_1,
              round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (WHERE positive), 4) AS recall_at_5, round(avg(coalesce(1.0 / first, 0.0)) FILTER (WHERE positive), 4) AS mrr,
              round(avg(CASE WHEN any_hit THEN 1.0 ELSE 0.0 END) FILTER (WHERE NOT positive), 4) AS negative_hit_rate FROM items GROUP BY split""",
+    "q23_packed": f"""WITH RECURSIVE {_DOC}, {_bm25_sql('docs')}, pool AS ({_top_sql('round(bm25, 4)', 12, 'bm', 'qid, id, rank')}), costs AS (SELECT qid, id, rank, ceil(length(text) / 4)::BIGINT AS cost FROM pool JOIN docs USING (id)),
+      pk AS (SELECT DISTINCT qid, 0::BIGINT AS rank, 0::BIGINT AS used, []::BIGINT[] AS ids FROM costs
+        UNION ALL SELECT p.qid, c.rank, CASE WHEN used + cost <= 1200 THEN used + cost ELSE used END, CASE WHEN used + cost <= 1200 THEN list_append(ids, c.id) ELSE ids END FROM pk p JOIN costs c ON c.qid = p.qid AND c.rank = p.rank + 1),
+      done AS (SELECT qid, arg_max(ids, rank) AS ids, max(used) AS used FROM pk GROUP BY qid)
+      SELECT qid, ids[i + 1] AS id, i::INT AS position, used FROM (SELECT *, unnest(range(len(ids))) AS i FROM done)""",
     "q59_threshold_sweep": f"""WITH {_DOC}, {_bm25_sql('docs')}, {_SCALED}, holds AS {_covering_sql('docs', 'bench', 'item_id', 'answer')},
       swept AS (SELECT floor, count(*) AS n_hits, count(DISTINCT qid) AS n_questions, count(DISTINCT CASE WHEN (qid, id) IN (SELECT (qid, id) FROM holds) THEN qid END) AS n_answers
         FROM (SELECT qid, id, round(scaled, 4) AS s FROM scaled), (SELECT unnest([{', '.join(f'{f}::DOUBLE' for f in FLOORS)}]) AS floor) WHERE s >= floor GROUP BY floor),

@@ -7,20 +7,11 @@ from pyspark.sql import functions as F
 
 from engrava.functions import notes
 from engrava.functions.text import fingerprint, is_blank, normalised, weighted_length
-from engrava.operators import delivery, store
+from engrava.operators import delivery, gates, store
 from engrava.sources import read_table
 
 CUTOFF = 1678000000.0
 
-# Secret-like patterns by name.
-SECRETS = {
-    "bearer": r"(?i)bearer [a-z0-9._-]{16,}",
-    "key_value": r"(?i)\b(?:api[_-]?key|token|secret|password)\s*[:=]\s*\S{6,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "hex_block": r"\b[0-9a-f]{32,64}\b",
-}
-
 
 def q03_vector_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = read_table(spark, sf_dir, "facts", "agent", "vector")
@@ -115,8 +106,7 @@ def q40_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q44_secret_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that hold secret-like strings, by pattern, over messages and documents."""
     texts = read_table(spark, sf_dir, "messages", F.col("content").alias("text")).unionByName(read_table(spark, sf_dir, "documents", "text"))
-    names = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in SECRETS.items()]))
-    return texts.where("text IS NOT NULL").select(F.explode(names).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n_texts"))
+    return texts.where("text IS NOT NULL").select(F.explode(gates.secret_names(F.col("text"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n_texts"))
 
 
 def q46_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

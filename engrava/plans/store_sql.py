@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from engrava.functions.text import INVISIBLE
 from engrava.operators.delivery import ROLE_NAMES
-from engrava.plans.store import CUTOFF, SECRETS
+from engrava.operators.gates import SECRETS
+from engrava.plans.store import CUTOFF
 
 _SID = f"nullif(regexp_replace(session_id, '^[{INVISIBLE}]+|[{INVISIBLE}]+$', '', 'g'), '')"
 _NAME = f"lower(regexp_replace(role, '^[{INVISIBLE}]+|[{INVISIBLE}]+$', '', 'g'))"

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 _written: list[str] = []
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
@@ -35,7 +37,13 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/engrava-{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    # nothing reads this write's shuffles again: Spark may delete their files as soon as it is done
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,3 +31,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType) -> tuple
 def write_snapshot(facts: DataFrame, path: str, most: int = 2000) -> None:
     """The newest ``most`` facts as JSON lines."""
     facts.orderBy(F.desc_nulls_last("timestamp"), "fact_id").limit(most).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_entries(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of a JSON array or of JSON lines, whichever the file is."""
+    head = spark.read.text(path, wholetext=False).where(F.length(F.trim("value")) > 0).limit(1).collect()
+    whole = bool(head) and head[0].value.lstrip("\ufeff \t").startswith("[")
+    return spark.read.schema(schema).option("multiLine", whole).json(path)
