@@ -98,37 +98,39 @@ def _tables(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return gamma(4096).astype(np.float32), np.log(gamma(65536)).astype(np.float32)
 
 
-def signatures(texts: list[str], kind: str, size: int, df: np.ndarray, n: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Consistent weighted samples of each text (one row each, identified by their level) and its number of shingles.
+def signatures(texts: list[str], kind: str, size: int, df: np.ndarray, n: int, hashes: int | range | list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Consistent weighted samples of each text (one row each, identified by their level) and its number of shingles, for the first ``hashes`` hashes or those listed.
 
     For a shingle of weight w and each hash: step r and level c are Gamma(2, 1), b uniform, all from the shingle's hash;
     t = floor(ln w / r + b), and the text's sample is the shingle with the least ln c - r (t - b) - r. Two texts have the
     same sample with the probability of their weighted Jaccard similarity.
     """
     steps, levels = _tables()
+    hashes = list(range(hashes) if isinstance(hashes, int) else hashes)
     owner, shingle, tf = shingles(texts, kind, size)
     counts = np.bincount(owner, minlength=len(texts))
-    out = np.full((len(texts), hashes), np.inf, dtype=np.float32)
+    out = np.full((len(texts), len(hashes)), np.inf, dtype=np.float32)
     if not len(owner):
         return out, counts
-    tf = np.minimum(tf, 15)
-    distinct, at = np.unique((shingle << np.uint64(4)) | tf.astype(np.uint64), return_inverse=True)
-    own = distinct >> np.uint64(4)
-    lnw = np.log(_weights(own, (distinct & np.uint64(15)).astype(np.int64), df, n)).astype(np.float32)
+    # equal weights are sampled once: a shingle with the rank of its number of occurrences, of which a block has under 2^21
+    times, rank = np.unique(tf, return_inverse=True)
+    distinct, at = np.unique((shingle << np.uint64(21)) | rank.astype(np.uint64), return_inverse=True)
+    own = distinct >> np.uint64(21)
+    lnw = np.log(_weights(own, times[(distinct & np.uint64((1 << 21) - 1)).astype(np.int64)], df, n)).astype(np.float32)
     # frequent shingles lie together, so that their levels stay in the processor's cache
     order = np.argsort(-np.bincount(at, minlength=len(own)), kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    own, lnw, at = own[order], lnw[order], place[at]
+    moved = np.empty(len(order), dtype=np.int64)
+    moved[order] = np.arange(len(order))
+    own, lnw, at = own[order], lnw[order], moved[at]
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     present = owner[starts]
-    for j in range(hashes):
+    for place, j in enumerate(hashes):
         bits = _mix(own + np.uint64(0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF))
         r = steps[(bits & np.uint64(4095)).astype(np.int64)]
         b = ((bits >> np.uint64(12)) & np.uint64(4095)).astype(np.float32) * np.float32(1 / 4096)
         c = levels[((bits >> np.uint64(24)) & np.uint64(65535)).astype(np.int64)]
         level = c - r * (np.floor(lnw / r + b) - b) - r
-        out[present, j] = np.minimum.reduceat(level[at], starts)
+        out[present, place] = np.minimum.reduceat(level[at], starts)
     return out, counts
 
 
@@ -166,57 +168,81 @@ def banding(at_least: float, missed: float = 1e-4) -> tuple[int, int]:
     return max(1, math.ceil(math.log(missed) / math.log1p(-agree))), rows
 
 
-def pairs(reps: DataFrame, *, kind: str = "words", size: int = 5, at_least: float = 0.8, weighted: bool = True, bands: int | None = None, rows: int | None = None) -> DataFrame:
+def pairs(reps: DataFrame, *, kind: str = "words", size: int = 5, at_least: float = 0.8, weighted: bool = True, bands: int | None = None, rows: int | None = None, waves: int = 4) -> DataFrame:
     """Pairs of representatives (``tbl``, ``a`` < ``b``, ``similarity``) at ``at_least`` or more.
 
     ``bands`` bands of ``rows`` samples, by ``at_least`` unless given (see ``banding``); rows that agree in a band meet by an equi-join on the band's hash (a hot band is split
     by Spark's skew join; no group is gathered) and are verified on their whole texts: by weighted Jaccard, or with
-    ``weighted=False`` by the plain Jaccard of the shingle sets.
+    ``weighted=False`` by the plain Jaccard of the shingle sets. Bands and the texts of candidates are shuffled in ``waves``, each
+    written before the next begins, so that only one wave's shuffle lies on disk at a time; the result is the same.
     """
     if bands is None or rows is None:
         bands, rows = banding(at_least)
     n = max(1, reps.count())
     df = document_frequencies(reps, kind, size)
     shared = reps.sparkSession.sparkContext.broadcast(df.astype(np.int32))
-    names = sorted(r.tbl for r in reps.select("tbl").distinct().limit(1 << 10).collect())  # the tables, by name
+    names = sorted(r.tbl for r in reps.select("tbl").distinct().limit(MOST_TABLES + 1).collect())
+    if len(names) > MOST_TABLES:
+        raise ValueError(f"more than {MOST_TABLES} tables")
+    met = None
+    for wave in range(min(waves, bands)):
+        one = materialise(_candidates(reps, names, range(wave, bands, waves), rows, kind, size, shared, n, 0.0 if weighted else at_least), "met")
+        met = one if met is None else met.unionByName(one)
+    met = materialise(met.distinct(), "candidates")
+    tbl = F.element_at(F.array(*[F.lit(t) for t in names] or [F.lit("")]), F.col("code") + 1)
+    text = reps.select("tbl", "rep", "text")
+    out = None
+    for wave in range(waves):
+        of_wave = lambda c: F.pmod(F.xxhash64(c), F.lit(waves)) == wave
+        own = met.where(of_wave("a")).select(tbl.alias("tbl"), "a", "b")
+        both = own.join(text.where(of_wave("rep")).toDF("tbl", "a", "ta"), ["tbl", "a"]).join(text.toDF("tbl", "b", "tb"), ["tbl", "b"])
+        one = materialise(both.select("tbl", "a", "b", "ta", "tb").mapInPandas(_verifier(kind, size, at_least, shared if weighted else None, n), "tbl string, a bigint, b bigint, similarity double"), "pairs")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: So many tables can be searched at once; more raise an error.
+MOST_TABLES = 1024
+
+
+def _candidates(reps: DataFrame, names: list[str], bands: range, rows: int, kind: str, size: int, shared, n: int, least: float) -> DataFrame:
+    """Distinct pairs (``code`` of the table, ``a`` < ``b``) that agree in one of the ``bands`` and whose numbers of shingles differ by no more than ``least`` allows."""
     codes = {t: c for c, t in enumerate(names)}
 
     def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _blocks(batches, 16000):
-            sig, counts = signatures(block["text"].tolist(), kind, size, shared.value, n, bands * rows)
+            sig, counts = signatures(block["text"].tolist(), kind, size, shared.value, n, [k * rows + j for k in bands for j in range(rows)])
             bits = sig.view(np.uint32).astype(np.uint64)
             salt = np.array([_word_code(t) for t in block["tbl"]], dtype=np.uint64)
             there = counts > 0
             # the size and the table in one number
             sized = (counts.astype(np.int64) << 10) | np.array([codes[t] for t in block["tbl"]], dtype=np.int64)
-            for k in range(bands):
+            for place, k in enumerate(bands):
                 key = salt + np.uint64(k)
                 for j in range(rows):
-                    key = _mix(key * np.uint64(31) + bits[:, k * rows + j])
+                    key = _mix(key * np.uint64(31) + bits[:, place * rows + j])
                 yield pd.DataFrame({"key": key[there].view(np.int64), "rep": block["rep"].to_numpy()[there], "size": sized[there]})
 
-    banded = reps.mapInPandas(band, "key bigint, rep bigint, size bigint")
     # one shuffle serves both sides: they read the same columns of the same exchange
-    banded = banded.repartition("key")
+    banded = reps.mapInPandas(band, "key bigint, rep bigint, size bigint").repartition("key")
     left, right = banded.toDF("key", "a", "na"), banded.toDF("key", "b", "nb")
-    close = F.least("na", "nb") >= (0.0 if weighted else at_least) * F.greatest("na", "nb")
-    met = left.join(right, "key").where((F.col("a") < F.col("b")) & F.col("na").bitwiseXOR(F.col("nb")).bitwiseAND(F.lit(1023)).eqNullSafe(0) & close)
-    tbl = F.element_at(F.array(*[F.lit(t) for t in names] or [F.lit("")]), (F.col("na").bitwiseAND(F.lit(1023)) + 1).cast("int"))
-    met = met.select(tbl.alias("tbl"), "a", "b").distinct()
-    # likewise one shuffle of the texts for both sides of a pair
-    text = reps.select("tbl", "rep", "text").repartition("tbl", "rep")
-    both = met.join(text.toDF("tbl", "a", "ta"), ["tbl", "a"]).join(text.toDF("tbl", "b", "tb"), ["tbl", "b"])
+    close = F.least("na", "nb") >= least * F.greatest("na", "nb")
+    table = lambda c: F.col(c).bitwiseAND(F.lit(MOST_TABLES - 1))
+    met = left.join(right, "key").where((F.col("a") < F.col("b")) & (table("na") == table("nb")) & close)
+    return met.select(table("na").cast("int").alias("code"), "a", "b").distinct()
 
+
+def _verifier(kind: str, size: int, at_least: float, shared, n: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if weighted:
+            if shared is not None:
                 s = np.array([similarity(x, y, kind, size, shared.value, n) for x, y in zip(pdf["ta"], pdf["tb"], strict=True)], dtype=np.float64)
             else:
                 s = _set_jaccard(pdf["ta"].tolist(), pdf["tb"].tolist(), kind, size)
             keep = s >= at_least
             yield pd.DataFrame({"tbl": pdf["tbl"][keep], "a": pdf["a"][keep], "b": pdf["b"][keep], "similarity": s[keep]})
 
-    return both.select("tbl", "a", "b", "ta", "tb").mapInPandas(verify, "tbl string, a bigint, b bigint, similarity double")
+    return verify
 
 
 def _set_jaccard(left: list[str], right: list[str], kind: str, size: int) -> np.ndarray:
