@@ -63,7 +63,8 @@ def balance(counted: DataFrame, targets: DataFrame, *, total: int | None = None,
     table.loc[~table["reachable"], "lam"] = 1e6
     low, high = np.full(len(table), -60.0), np.full(len(table), 60.0)
     for _ in range(rounds):
-        open_rows = table["reachable"].to_numpy()
+        # what needs nothing has nothing to solve
+        open_rows = (table["reachable"] & (table["need"] > 0)).to_numpy()
         if not open_rows.any():
             break
         at = spark.createDataFrame(table.loc[open_rows, ["source", "lam", "mean_tokens", "max_repeats"]])
@@ -73,7 +74,7 @@ def balance(counted: DataFrame, targets: DataFrame, *, total: int | None = None,
         sums = counted.join(F.broadcast(at), "source").groupBy("source").agg(F.sum(F.least(raw, F.col("max_repeats")) * F.col("tokens")).alias("given"), F.sum(F.when(free, raw * x * F.col("tokens")).otherwise(0.0)).alias("slope")).toPandas()
         merged = table.merge(sums, on="source", how="left")
         gap = (merged["need"] - merged["given"]).to_numpy()
-        if np.nanmax(np.abs(gap[open_rows]) / merged["need"].to_numpy()[open_rows]) < tolerance:
+        if np.max(np.abs(gap[open_rows]) / merged["need"].to_numpy()[open_rows]) < tolerance:
             break
         lam = table["lam"].to_numpy()
         low, high = np.where(gap > 0, np.maximum(low, lam), low), np.where(gap < 0, np.minimum(high, lam), high)
