@@ -87,3 +87,25 @@ def test_groups_place_every_record(spark, tmp_path):
     spark.createDataFrame([(1, near, "s"), (5, base, None), (6, near, "s"), (7, None, "s"), (8, "alone", "s")], "id bigint, content string, session_id string").write.parquet(str(tmp_path / "messages.parquet"))
     got = {(r.tbl, r.id): r.group for r in neardup_queries.p4_groups(spark, str(tmp_path)).collect()}
     assert got == {("facts", 1): 1, ("facts", 2): 1, ("facts", 3): 1, ("facts", 4): 4, ("messages", 1): 1, ("messages", 5): 1, ("messages", 6): 1, ("messages", 8): 8}
+
+
+def test_weighted_pairs_against_brute_force(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        w = [rng.choice(WORDS) + rng.choice("xyz") for _ in range(150)]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 4, 7):
+            v = list(w)
+            for _ in range(edits):
+                at = rng.randrange(len(v))
+                v[at : at + rng.randrange(2)] = [rng.choice(WORDS)]
+            texts.append(" ".join(v))
+    texts.append("same words again " * 3000)
+    texts.append("same words again " * 2500)
+    reps = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "tbl string, rep bigint, text string")
+    df = neardup.document_frequencies(reps, "words", 5)
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (i // 5 == j // 5 or j >= 200) and neardup.similarity(texts[i], texts[j], "words", 5, df, len(texts)) >= 0.8}
+    got = {(r.a, r.b) for r in neardup.pairs(reps).collect()}
+    assert len(want) > 80 and (200, 201) in want and got <= want and len(got) >= 0.99 * len(want)
+    assert {(r.a, r.b) for r in neardup.pairs(reps, waves=1).collect()} == got
