@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from engrava.functions import notes as note
 from engrava.functions.text import bigrams, normalised
-from engrava.session import small
+from engrava.session import materialise, small
 
 # Forms of identifiers in a query, in the order in which they are looked for.
 IDENTIFIERS = (
@@ -139,38 +139,53 @@ def related(tagged: DataFrame, k: int = 5, most_tags: int = 12) -> DataFrame:
 RUN, WINDOW = 24, 40
 
 
-def contained(notes: DataFrame, shortest: int = 80) -> DataFrame:
+def contained(notes: DataFrame, shortest: int = 80, waves: int = 4) -> DataFrame:
     """Notes whose normalised body stands in another note's, or equals it: ``id``, ``within``; of equal bodies the smallest id holds the others.
 
     ``notes`` has unique ``id`` and ``body``; bodies under ``shortest`` characters (64 at least) take no part. Marks are the least
-    hashes of sliding windows over runs of characters, so a body meets every text around it by an equi-join on its first mark.
+    hashes of sliding windows over runs of characters, so every text around a body has all its marks: a body meets them by an
+    equi-join on its rarest mark, and one with a mark of its own meets none. Marks are counted in ``waves``, each written before
+    the next begins; only texts of candidates are shuffled.
     """
-    rows = notes.select("id", normalised(F.col("body")).alias("text")).where(F.length("text") >= max(shortest, RUN + WINDOW)).withColumn("h", F.md5("text"))
-    reps = rows.groupBy("h").agg(F.min("id").alias("rep"))
-    equal = rows.select("id", "h").join(reps, "h").where("id <> rep").select("id", F.col("rep").alias("within"))
-    texts = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
-    marks = texts.mapInPandas(_marks, "id bigint, mark bigint, first boolean")
-    met = marks.where("first").select(F.col("id").alias("a"), "mark").join(marks.select(F.col("id").alias("b"), "mark"), "mark").where("a <> b").select("a", "b").distinct()
-    both = met.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    rows = notes.select("id", normalised(F.col("body")).alias("text")).where(F.length("text") >= max(shortest, RUN + WINDOW))
+    hashed = rows.select("id", F.unhex(F.md5("text")).alias("h"))
+    copied = hashed.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("h", "rep")
+    equal = materialise(hashed.join(copied, "h").where("id <> rep").select("id", F.col("rep").alias("within")), "equal")
+    texts = rows.join(small(equal.select("id")), "id", "left_anti")
+    marks = materialise(texts.mapInPandas(_marks, "id bigint, mark bigint"), "marks")
+    met = materialise(_within(marks, waves), "met")
+    told = texts.join(small(met.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
+    both = met.join(told.toDF("a", "ta"), "a").join(told.toDF("b", "tb"), "b")
     return equal.unionByName(both.where(F.contains("tb", "ta")).select(F.col("a").alias("id"), F.col("b").alias("within")))
 
 
+def _within(marks: DataFrame, waves: int) -> DataFrame:
+    """Pairs (``a``, ``b``) where ``b`` has the rarest of the marks of ``a``."""
+    least = None
+    for wave in range(waves):
+        # one shuffle serves the counts and the rows they go to
+        own = marks.where(F.pmod(F.xxhash64("mark"), F.lit(waves)) == wave).repartition("mark")
+        counted = own.join(own.groupBy("mark").agg(F.count("*").alias("n")), "mark")
+        one = materialise(counted.groupBy("id").agg(F.min(F.struct("n", "mark")).alias("rarest")), "rarest")
+        least = one if least is None else least.unionByName(one)
+    rarest = least.groupBy("id").agg(F.min("rarest").alias("rarest")).where("rarest.n > 1").select(F.col("id").alias("a"), F.col("rarest.mark").alias("mark"))
+    return marks.withColumnRenamed("id", "b").join(small(materialise(rarest, "rarest")), "mark").where("a <> b").select("a", "b")
+
+
+def _marks_of(text: str) -> np.ndarray:
+    units = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    run = np.zeros(len(units) - RUN + 1, dtype=np.uint64)
+    for j in range(RUN):
+        run = run * np.uint64(0x9E3779B97F4A7C15) + units[j : j + len(run)] + np.uint64(1)
+    run = (run ^ (run >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return pd.unique(np.lib.stride_tricks.sliding_window_view(run, WINDOW).min(axis=1)).view(np.int64)
+
+
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ids, marks, firsts = [], [], []
-        for key, text in zip(pdf["id"], pdf["text"], strict=True):
-            units = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-            run = np.zeros(len(units) - RUN + 1, dtype=np.uint64)
-            for j in range(RUN):
-                run = run * np.uint64(0x9E3779B97F4A7C15) + units[j : j + len(run)] + np.uint64(1)
-            run = (run ^ (run >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            least = np.lib.stride_tricks.sliding_window_view(run, WINDOW).min(axis=1)
-            own = pd.unique(least)
-            ids.append(np.full(len(own), key, dtype=np.int64))
-            marks.append(own.view(np.int64))
-            firsts.append(np.arange(len(own)) == 0)
-        if ids:
-            yield pd.DataFrame({"id": np.concatenate(ids), "mark": np.concatenate(marks), "first": np.concatenate(firsts)})
+        marks = [_marks_of(text) for text in pdf["text"]]
+        if marks:
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), [len(m) for m in marks]), "mark": np.concatenate(marks)})
 
 
 def link_audit(notes: DataFrame, links: DataFrame) -> DataFrame:

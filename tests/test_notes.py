@@ -60,6 +60,20 @@ def test_contained(spark):
     assert {(r.id, r.within) for r in notes.contained(table(spark, rows, "id bigint, body string")).collect()} == {(2, 1), (3, 1), (7, 8)}
 
 
+def test_contained_by_the_rarest_mark(spark):
+    rng = random.Random(8)
+    head = " ".join("h" + str(rng.randrange(500)) for _ in range(40))
+    own = [" ".join(f"n{i}x{rng.randrange(900)}" for _ in range(20)) for i in range(60)]
+    rows = [(i, f"{head} {t}") for i, t in enumerate(own)] + [(100 + i, f"before {head} {t} after") for i, t in enumerate(own[:5])] + [(200, f"{head} {own[0]}"), (300, head)]
+    notes_ = table(spark, rows, "id bigint, body string")
+    marks = table(spark, [(i, m) for i, t in rows[:65] for m in notes._marks_of(t).tolist()], "id bigint, mark bigint")
+    # notes that share a beginning don't meet through it
+    met = {(r.a, r.b) for r in notes._within(marks, 2).collect()}
+    assert {(i, 100 + i) for i in range(5)} <= met and all(abs(a - b) == 100 for a, b in met)
+    got = {(r.id, r.within) for r in notes.contained(notes_).collect()}
+    assert got == {(i, 100 + i) for i in range(5)} | {(200, 0)} | {(300, i) for i in [*range(60), *range(100, 105)]}
+
+
 def test_evicted_needs_use(spark):
     facts = table(spark, [(i, "a" if i < 6 else None, f"2023-0{i}") for i in range(1, 9)], "fact_id bigint, agent string, timestamp string")
     used = table(spark, [(1, 9), (2, 5)], "key bigint, last_used bigint")
