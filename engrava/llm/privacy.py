@@ -59,11 +59,42 @@ ADDRESS = (
     re.compile(r"(?<!\w)(?:[^\W\d_]+\s+){1,3}\d{1,4}\s?[a-z]?,\s*\d{5}\s+[^\W\d_]{3,}", re.I),
     re.compile(r"[㐀-鿿]{1,12}(?:路|街|巷|大道|弄|胡同|道)\s?\d{1,5}\s?号(?:\s?\d+\s?(?:号楼|栋|幢|楼|室|单元|层))*"),
 )
-_ADDRESS_MARK = re.compile(rf"\d\s*号|\b(?:{_STREET})\b|(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm|steig|chaussee)\s+\d|\d{{1,4}}\s?[a-z]?,\s*\d{{5}}\s", re.I)
-_ID_MARK = re.compile(_ID_CUE, re.I)
+#: What each address pattern cannot do without, quick to look for: a number led by words of a street, parts of street names, a postal code, 号.
+_STREET_MARK = re.compile(rf"\d[a-z]?\s+(?:[^\W\d_]+\s+){{1,2}}(?:{_STREET})\b", re.I)
+_STREET_PARTS = ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring", "ufer", "damm", "steig", "chaussee")
+_STREET_END = re.compile(r"[^\W_\d.]\.?\s+\d")
+_POSTAL_MARK = re.compile(r"\d\s?[a-z]?,\s*\d{5}\s", re.I)
+_HOUSE_MARK = re.compile(r"\d\s?号")
+#: Parts in lower case of which every cue of an identity number holds one.
+_ID_PARTS = tuple("passport|reisepass|ssn|social security|licen|führerschein|tax id|taxpayer id|steuer|national i|identity card|id card|ausweis|insurance n|versicherungsnummer|ni n|证件|身份|护照|社保|税号|驾照|驾驶|医保".split("|"))
+_DIGIT = re.compile(r"\d")
 _NUMBER_MARK = re.compile(r"\d(?:[\s().（）/-]{0,2}\d){6}")
 
 
+def _folded(text: str) -> str:
+    """Lower case, with the letters that ``re.I`` takes for plain ones."""
+    for c, plain in (("ſ", "s"), ("ı", "i"), ("İ", "i")):
+        text = text.replace(c, plain)
+    return text.lower()
+
+
+def _id_numbers(text: str, low: str) -> bool:
+    """False only where ``ID_NUMBER`` can find no number of six digits."""
+    return any(p in low for p in _ID_PARTS) and len(_DIGIT.findall(text)) >= 6
+
+
+def _addresses(text: str, low: str) -> Iterator[re.Pattern]:
+    """The patterns of ``ADDRESS`` that may find something."""
+    if _STREET_MARK.search(text):
+        yield ADDRESS[0]
+    if any(p in low for p in _STREET_PARTS) and _STREET_END.search(text):
+        yield ADDRESS[1]
+    if _POSTAL_MARK.search(text):
+        yield ADDRESS[2]
+    if "号" in text and _HOUSE_MARK.search(text):
+        yield ADDRESS[3]
+
+
 def fixed_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of mail addresses, identity numbers, telephone numbers and street addresses, without overlap, in this order of right."""
     found: list[tuple[int, int, str]] = []
@@ -72,12 +103,14 @@ def fixed_spans(text: str) -> list[tuple[int, int, str]]:
         if b > a and all(b <= x or a >= y for x, y, _ in found):
             found.append((a, b, kind))
 
-    low = text.lower()
+    low = _folded(text)
     if "@" in text or "＠" in text or ("at" in low and ("dot" in low or "[at" in low or "(at" in low or "{at" in low or " at]" in low or " at)" in low)):
         for m in EMAIL.finditer(text):
             add(*m.span(), "email")
+    if not _DIGIT.search(text):  # all other forms hold one
+        return found
     long_number = _NUMBER_MARK.search(text) is not None
-    if _ID_MARK.search(text):
+    if _id_numbers(text, low):
         for m in ID_NUMBER.finditer(text):
             if sum(c.isdigit() for c in m.group(1)) >= 6:
                 add(*m.span(1), "id_number")
@@ -92,10 +125,9 @@ def fixed_spans(text: str) -> list[tuple[int, int, str]]:
             before = text[max(0, m.start() - 32) : m.start()]
             if _PHONE_CUE.search(before) and not _NOT_PHONE.search(before):
                 add(*m.span(), "phone")
-    if _ADDRESS_MARK.search(text):
-        for pattern in ADDRESS:
-            for m in pattern.finditer(text):
-                add(*m.span(), "address")
+    for pattern in _addresses(text, low):
+        for m in pattern.finditer(text):
+            add(*m.span(), "address")
     return found
 
 

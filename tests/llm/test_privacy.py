@@ -51,3 +51,17 @@ def test_names_reveal_further_names(spark):
     given, surnames = privacy.disclosure(rows.select("content"), ["Elena Kerrnak"])
     assert given == {"elena", "tarek"} and surnames == {"kerrnak", "wen", "li"}
     assert (given, surnames) == privacy.disclosure(rows.select("content"), ["Elena Kerrnak"], max_terms=8)
+
+
+def test_quick_marks_lose_nothing():
+    texts = [t for kind in ("id_number", "address") for t in CASES[kind]]
+    texts += [c + " 12345678" for c in "passport|reisepass|ssn|social security|driving license|driver's licence|licence no|führerschein|tax id|taxpayer id|steuer-id|steuernummer|national identity|identity card|id card|ausweis|health insurance number|versicherungsnummer|national insurance|NI number|ni no|证件|身份|护照|社保|税号|驾照|驾驶证|医保".split("|")]
+    texts += [f"Ort{p} 12" for p in "straße strasse str. weg platz allee gasse ring ufer damm steig chaussee".split()] + ["12b Mill Lane, Wexholm", "Am alten Markt 3 b, 04163 Oderthal"]
+    for plain in texts:
+        for t in (plain, plain.upper(), plain.replace("s", "ſ"), plain.replace("i", "İ"), plain.replace("i", "ı")):
+            low = privacy._folded(t)
+            assert privacy._id_numbers(t, low) or not any(sum(c.isdigit() for c in m.group(1)) >= 6 for m in privacy.ID_NUMBER.finditer(t))
+            assert set(privacy._addresses(t, low)) >= {p for p in privacy.ADDRESS if p.search(t)}
+        assert privacy.fixed_spans(plain)
+    for t in ("my passport is new", "the street is long", "the ring of build12345678 is closed"):
+        assert not privacy._id_numbers(t, t) and not [*privacy._addresses(t, t)]
