@@ -173,7 +173,7 @@ def pairs(reps: DataFrame, *, kind: str = "words", size: int = 5, at_least: floa
 
     ``bands`` bands of ``rows`` samples, by ``at_least`` unless given (see ``banding``); rows that agree in a band meet by an equi-join on the band's hash (a hot band is split
     by Spark's skew join; no group is gathered) and are verified on their whole texts: by weighted Jaccard, or with
-    ``weighted=False`` by the plain Jaccard of the shingle sets. Bands and the texts of candidates are shuffled in ``waves``, each
+    ``weighted=False`` by the plain Jaccard of the shingle sets, after their sketches (see ``_near``). Bands and the texts of candidates are shuffled in ``waves``, each
     written before the next begins, so that only one wave's shuffle lies on disk at a time; the result is the same.
     """
     if bands is None or rows is None:
@@ -191,16 +191,58 @@ def pairs(reps: DataFrame, *, kind: str = "words", size: int = 5, at_least: floa
     met = materialise(met.distinct(), "candidates")
     tbl = F.element_at(F.array(*[F.lit(t) for t in names] or [F.lit("")]), F.col("code") + 1)
     text = reps.select("tbl", "rep", "text")
+    of_wave = lambda c, wave: F.pmod(F.xxhash64(c), F.lit(waves)) == wave
+    if not weighted:
+        met = _near(met, materialise(_sketches(reps, names, kind, size), "sketches"), at_least, [of_wave("a", wave) for wave in range(waves)])
     out = None
     for wave in range(waves):
-        of_wave = lambda c: F.pmod(F.xxhash64(c), F.lit(waves)) == wave
-        own = met.where(of_wave("a")).select(tbl.alias("tbl"), "a", "b")
-        both = own.join(text.where(of_wave("rep")).toDF("tbl", "a", "ta"), ["tbl", "a"]).join(text.toDF("tbl", "b", "tb"), ["tbl", "b"])
+        own = met.where(of_wave("a", wave)).select(tbl.alias("tbl"), "a", "b")
+        both = own.join(text.where(of_wave("rep", wave)).toDF("tbl", "a", "ta"), ["tbl", "a"]).join(text.toDF("tbl", "b", "tb"), ["tbl", "b"])
         one = materialise(both.select("tbl", "a", "b", "ta", "tb").mapInPandas(_verifier(kind, size, at_least, shared if weighted else None, n), "tbl string, a bigint, b bigint, similarity double"), "pairs")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+#: Sketches have this many words of 64 bits.
+SKETCH = 16
+
+
+def _bits(texts: list[str], kind: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text one bit for every residue that its shingles' hashes have, as ``SKETCH`` words, and its number of shingles."""
+    owner, hashes, _ = shingles(texts, kind, size)
+    bits = np.zeros((len(texts), SKETCH * 64), dtype=bool)
+    bits[owner, ((hashes >> np.uint64(20)) % np.uint64(SKETCH * 64)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64), np.bincount(owner, minlength=len(texts))
+
+
+def _sketches(reps: DataFrame, names: list[str], kind: str, size: int) -> DataFrame:
+    """``code`` of the table, ``rep``, number of shingles ``n`` and the words ``s0``, ``s1``... of each text's sketch."""
+    codes = {t: c for c, t in enumerate(names)}
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _blocks(batches, 16000):
+            words, counts = _bits(block["text"].tolist(), kind, size)
+            yield pd.DataFrame({"code": [codes[t] for t in block["tbl"]], "rep": block["rep"].to_numpy(), "n": counts} | {f"s{i}": words[:, i] for i in range(SKETCH)})
+
+    return reps.mapInPandas(sketch, "code int, rep bigint, n bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH)))
+
+
+def _near(met: DataFrame, sketches: DataFrame, at_least: float, parts: list[Column]) -> DataFrame:
+    """The pairs of ``met`` that the sketches don't rule out, one part after the other.
+
+    Every bit that only one sketch has stands for at least one shingle that only this text has, and a pair of Jaccard similarity t
+    has (1 - t) / (1 + t) of both texts' shingles in one of them only: no pair at ``at_least`` is lost.
+    """
+    side = lambda c: sketches.select("code", F.col("rep").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in sketches.columns[2:]])
+    apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SKETCH)), F.lit(0))
+    close = apart * (1 + at_least) <= (F.col("a_n") + F.col("b_n")) * (1 - at_least) + 1e-6
+    out = None
+    for part in parts:
+        one = materialise(met.where(part).join(side("a"), ["code", "a"]).join(side("b"), ["code", "b"]).where(close).select("code", "a", "b"), "near")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 #: So many tables can be searched at once; more raise an error.
 MOST_TABLES = 1024
 

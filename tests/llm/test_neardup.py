@@ -109,3 +109,15 @@ def test_weighted_pairs_against_brute_force(spark):
     got = {(r.a, r.b) for r in neardup.pairs(reps).collect()}
     assert len(want) > 80 and (200, 201) in want and got <= want and len(got) >= 0.99 * len(want)
     assert {(r.a, r.b) for r in neardup.pairs(reps, waves=1).collect()} == got
+
+
+def test_sketches_rule_out_and_lose_nothing(spark):
+    rng = random.Random(31)
+    texts = corpus() + [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (9, 12, 200, 400)]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    reps = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "tbl string, rep bigint, text string")
+    met = spark.createDataFrame([(0, i, j) for i, j in pairs], "code int, a bigint, b bigint")
+    near = {(r.a, r.b) for r in neardup._near(met, neardup._sketches(reps, ["t"], "chars", 5), 0.6, [F.col("a") % 2 == 0, F.col("a") % 2 == 1]).collect()}
+    sets = [grams(t) for t in texts]
+    want = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+    assert len(want) > 100 and want <= near and len(near) < 2 * len(want) < len(pairs) / 10
