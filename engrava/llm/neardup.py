@@ -1,4 +1,4 @@
-"""Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded, then verified."""
+"""Near-duplicate texts: consistent samples of shingles (weighted by TF-IDF, or of the plain sets), banded, then verified."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engrava.functions.text import normalised
-from engrava.session import materialise
+from engrava.session import materialise, shuffle_partitions, small
 
 #: Document frequencies are kept in this many buckets by shingle hash: a table of fixed size, whatever the corpus.
 BUCKETS = 1 << 18
@@ -134,6 +135,49 @@ def signatures(texts: list[str], kind: str, size: int, df: np.ndarray, n: int, h
     return out, counts
 
 
+_NONE = np.uint32(0xFFFFFFFF)
+
+
+def samples(owner: np.ndarray, shingle: np.ndarray, texts: int, count: int, rounds: int = 24) -> np.ndarray:
+    """``count`` samples of each text's shingle set (one row each; ``_NONE`` where a text has no shingle), from ``shingles``.
+
+    In each round every shingle falls into one place by its hash; a place keeps the shingle of its first round, and of that
+    the one with the least hash. Places still empty after ``rounds`` keep the least of all hashes made for that place. In
+    each place every shingle of a union is as likely as another to be kept, so two texts have the same sample with the
+    probability of their Jaccard similarity. Texts without an empty place are left out of further rounds, which changes nothing.
+    """
+    out = np.full(texts * count, _NONE, dtype=np.uint32)
+    sizes = np.bincount(owner, minlength=texts)
+    own, left, row = owner, shingle, owner * count
+    for i in range(0, rounds, 2):
+        bits = left * np.uint64(0x9E3779B97F4A7C15 * (2 * i + 3) & 0xFFFFFFFFFFFFFFFF)
+        bits ^= bits >> np.uint64(32)
+        bits *= np.uint64(0xBF58476D1CE4E5B9)
+        bits ^= bits >> np.uint64(29)
+        for half in (0, 1):
+            part = (bits >> np.uint64(32 * half)).astype(np.uint32)
+            place = (part & np.uint32(0xFFFF)) * np.uint32(count) >> np.uint32(16)
+            np.minimum.at(out, row + place, (part >> np.uint32(16)) | np.uint32((i + half) << 16))
+        if i % 4 == 2:
+            keep = (out.reshape(texts, count) == _NONE).any(axis=1)[own]
+            if not keep.all():
+                own, left, row = own[keep], left[keep], row[keep]
+            if not len(own):
+                break
+    out = out.reshape(texts, count)
+    first = np.cumsum(sizes) - sizes
+    text, place = np.nonzero((out == _NONE) & (sizes > 0)[:, None])
+    for a in range(0, len(text), 8192):
+        t, p = text[a : a + 8192], place[a : a + 8192]
+        ends = np.cumsum(sizes[t])
+        begins = ends - sizes[t]
+        at = np.repeat(first[t] - begins, sizes[t]) + np.arange(ends[-1])
+        value = _mix(shingle[at] + np.repeat((p + 1).astype(np.uint64), sizes[t]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        # later than any round
+        out[t, p] = (np.minimum.reduceat(value, begins) | np.uint64(1 << 31)).astype(np.uint32)
+    return out
+
+
 def similarity(a: str, b: str, kind: str, size: int, df: np.ndarray | None, n: int) -> float:
     """Weighted Jaccard of the TF-IDF shingles; without ``df`` the plain Jaccard of the shingle sets."""
     owner, h, tf = shingles([a, b], kind, size)
@@ -152,57 +196,246 @@ def representatives(texts: DataFrame, gone: DataFrame | None = None) -> tuple[Da
 
     Rows in ``gone`` (``tbl``, ``id``) take no part. Copies are counted on hashes; each text itself is shuffled once.
     """
-    keys = texts.select("tbl", "id", F.unhex(F.md5("text")).alias("h"))
+    # normalised once
+    keyed = materialise(texts.select("tbl", "id", F.unhex(F.md5("text")).alias("h"), "text"), "keyed")
+    keys = keyed.select("tbl", "id", "h")
     if gone is not None:
         keys = keys.join(gone, ["tbl", "id"], "left_anti")
     keys = materialise(keys, "keys")
     first = keys.groupBy("tbl", "h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = materialise(texts.join(first.select("tbl", F.col("rep").alias("id")), ["tbl", "id"]).select("tbl", F.col("id").alias("rep"), "text"), "reps")
+    reps = materialise(keyed.join(first.select("tbl", F.col("rep").alias("id")), ["tbl", "id"]).select("tbl", F.col("id").alias("rep"), "text"), "reps")
     return reps, keys.join(first.where("copies > 1"), ["tbl", "h"]).select("tbl", "id", "rep")
 
 
-def banding(at_least: float, missed: float = 1e-4) -> tuple[int, int]:
-    """Bands and samples a band, so that a pair of weighted similarity ``at_least`` meets in no band with a probability of ``missed`` at most."""
-    rows = max(1, round(1 + 5 * at_least))
+def banding(at_least: float, missed: float = 1e-4, more: int = 0) -> tuple[int, int]:
+    """Bands and samples a band (by ``more`` above the usual number), so that a pair of weighted similarity ``at_least`` meets in no band with a probability of ``missed`` at most."""
+    rows = max(1, round(1 + 5 * at_least)) + more
     agree = min(max(at_least, 0.05) ** rows, 1 - 1e-9)
     return max(1, math.ceil(math.log(missed) / math.log1p(-agree))), rows
 
 
+#: Plain sets get one more sample a band, and the bands for it, for every five times more texts than this.
+MANY_TEXTS = 500_000
+
+
 def pairs(reps: DataFrame, *, kind: str = "words", size: int = 5, at_least: float = 0.8, weighted: bool = True, bands: int | None = None, rows: int | None = None, waves: int = 4) -> DataFrame:
     """Pairs of representatives (``tbl``, ``a`` < ``b``, ``similarity``) at ``at_least`` or more.
 
-    ``bands`` bands of ``rows`` samples, by ``at_least`` unless given (see ``banding``); rows that agree in a band meet by an equi-join on the band's hash (a hot band is split
-    by Spark's skew join; no group is gathered) and are verified on their whole texts: by weighted Jaccard, or with
-    ``weighted=False`` by the plain Jaccard of the shingle sets, after their sketches (see ``_near``). Bands and the texts of candidates are shuffled in ``waves``, each
-    written before the next begins, so that only one wave's shuffle lies on disk at a time; the result is the same.
+    ``bands`` bands of ``rows`` samples, by ``at_least`` unless given (see ``banding``); rows that agree in a band meet (see ``_met``)
+    and are verified on their whole texts: by weighted Jaccard, or with ``weighted=False`` by the plain Jaccard of the shingle
+    sets. Those are sampled without weights, and what their sketches rule out does not leave the band. Bands are shuffled in
+    three times ``waves`` and the texts of candidates in ``waves``, each written before the next begins, so that only one wave's
+    shuffle lies on disk at a time; the result is the same.
     """
-    if bands is None or rows is None:
-        bands, rows = banding(at_least)
     n = max(1, reps.count())
-    df = document_frequencies(reps, kind, size)
-    shared = reps.sparkSession.sparkContext.broadcast(df.astype(np.int32))
+    if bands is None or rows is None:
+        bands, rows = banding(at_least, more=0 if weighted else max(0, math.ceil(math.log(n / MANY_TEXTS, 5))))
+    shared = reps.sparkSession.sparkContext.broadcast(document_frequencies(reps, kind, size).astype(np.int32)) if weighted else None
     names = sorted(r.tbl for r in reps.select("tbl").distinct().limit(MOST_TABLES + 1).collect())
     if len(names) > MOST_TABLES:
         raise ValueError(f"more than {MOST_TABLES} tables")
+    dealt = [range(wave, bands, min(3 * waves, bands)) for wave in range(min(3 * waves, bands))]
+    signed = materialise(_signed(reps, names, dealt, rows, kind, size, shared, n), "signed")
     met = None
-    for wave in range(min(waves, bands)):
-        one = materialise(_candidates(reps, names, range(wave, bands, waves), rows, kind, size, shared, n, 0.0 if weighted else at_least), "met")
+    for wave, own in enumerate(dealt):
+        one = materialise(_met(signed.select("head", f"w{wave}"), len(own), n, None if weighted else at_least), "met")
         met = one if met is None else met.unionByName(one)
-    met = materialise(met.distinct(), "candidates")
     tbl = F.element_at(F.array(*[F.lit(t) for t in names] or [F.lit("")]), F.col("code") + 1)
-    text = reps.select("tbl", "rep", "text")
+    met = materialise(met.distinct().select(tbl.alias("tbl"), "a", "b"), "candidates")
+    there = materialise(met.select("tbl", F.col("a").alias("rep")).unionByName(met.select("tbl", F.col("b").alias("rep"))).distinct(), "there")
+    text = materialise(reps.select("tbl", "rep", "text").join(small(there), ["tbl", "rep"], "left_semi"), "texts")
     of_wave = lambda c, wave: F.pmod(F.xxhash64(c), F.lit(waves)) == wave
-    if not weighted:
-        met = _near(met, materialise(_sketches(reps, names, kind, size), "sketches"), at_least, [of_wave("a", wave) for wave in range(waves)])
     out = None
     for wave in range(waves):
-        own = met.where(of_wave("a", wave)).select(tbl.alias("tbl"), "a", "b")
-        both = own.join(text.where(of_wave("rep", wave)).toDF("tbl", "a", "ta"), ["tbl", "a"]).join(text.toDF("tbl", "b", "tb"), ["tbl", "b"])
-        one = materialise(both.select("tbl", "a", "b", "ta", "tb").mapInPandas(_verifier(kind, size, at_least, shared if weighted else None, n), "tbl string, a bigint, b bigint, similarity double"), "pairs")
+        both = met.where(of_wave("a", wave)).join(text.where(of_wave("rep", wave)).toDF("tbl", "a", "ta"), ["tbl", "a"]).join(text.toDF("tbl", "b", "tb"), ["tbl", "b"])
+        one = materialise(both.select("tbl", "a", "b", "ta", "tb").mapInPandas(_verifier(kind, size, at_least, shared, n), "tbl string, a bigint, b bigint, similarity double"), "pairs")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _width(sizes: np.ndarray) -> np.ndarray:
+    """Words of a text's parity sketch by its number of shingles: 8 up to 384, then twice as many for every doubling, 256 at most."""
+    return 8 << np.searchsorted(384 << np.arange(5), sizes)
+
+
+def _parities(owner: np.ndarray, shingle: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each of the six widths the sketches of the texts that have it, in their order: a bit is the parity of the number of shingles of its residue.
+
+    The sketch of half the width is the exclusive or of the halves.
+    """
+    width = _width(sizes)
+    out = []
+    for words in 8 << np.arange(6):
+        own = width == words
+        place = np.cumsum(own) - 1
+        there = own[owner]
+        bit = place[owner[there]] * (words * 64) + ((shingle[there] >> np.uint64(20)) % np.uint64(words * 64)).astype(np.int64)
+        odd = np.bincount(bit, minlength=int(own.sum()) * int(words) * 64) & 1
+        out.append(np.packbits(odd.astype(bool)).view(np.uint64).reshape(-1, words))
+    return out
+
+
+def _allowed(total: np.ndarray, words: int, at_least: float) -> np.ndarray:
+    """The most differing bits that the sketches of two texts with ``total`` shingles may have.
+
+    A pair of Jaccard similarity t has d = total (1 - t) / (1 + t) shingles in one text only, and every differing bit stands for one of
+    these at least. Several may share a bit; then so many bits as expected for d and 5.5 standard deviations more (a pair
+    at ``at_least`` is above that with a probability of 2e-8).
+    """
+    m, d = words * 64, total * ((1 - at_least) / (1 + at_least))
+    even = np.exp(d * math.log1p(-2 / m))
+    return np.minimum(d, m / 2 * (1 - even) + 5.5 * np.sqrt(m * (1 - even**2)) / 2) + 1e-6
+
+
+#: One entry of a band: its key, the record, its number of shingles and the code of its table. Sketches follow, by width.
+_ENTRY = np.dtype([("key", "<u4"), ("rep", "<i8"), ("size", "<u4"), ("code", "<u2")])
+
+
+def _packed(entries: np.ndarray, sketches: list[np.ndarray]) -> bytes:
+    return b"".join([np.array([len(entries)] + [len(x) for x in sketches], dtype=np.int64).tobytes(), entries.tobytes(), *[x.tobytes() for x in sketches]])
+
+
+def _unpacked(packed) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Entries and sketches of ``_packed``; the sketches are empty if none were kept."""
+    counts = np.frombuffer(packed, np.int64, 7)
+    entries = np.frombuffer(packed, _ENTRY, counts[0], 56)
+    at, sketches = 56 + entries.nbytes, []
+    for words, count in zip(8 << np.arange(6), counts[1:], strict=True):
+        sketches.append(np.frombuffer(packed, np.uint64, count * words, at).reshape(-1, words))
+        at += sketches[-1].nbytes
+    return entries, sketches
+
+
+def _picked(rows: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray]) -> list[np.ndarray]:
+    """The sketches of the ``rows``, in their order, out of those of all rows with these ``sizes``."""
+    width = _width(sizes)
+    return [x[(np.cumsum(width == words) - 1)[rows[width[rows] == words]]] if len(x) else x for words, x in zip(8 << np.arange(6), sketches, strict=True)]
+
+
+def _signed(reps: DataFrame, names: list[str], dealt: list[range], rows: int, kind: str, size: int, shared, n: int) -> DataFrame:
+    """Blocks of texts in columns of packed numbers: ``head`` (see ``_packed``) and for each wave its bands' keys ``w0``, ``w1``..., band by band.
+
+    With ``shared`` document frequencies the samples are weighted, and there are no sketches.
+    """
+    codes = {t: c for c, t in enumerate(names)}
+    count = sum(len(bands) for bands in dealt) * rows
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _blocks(batches, 4000 if shared is None else 16000):
+            texts = block["text"].tolist()
+            if shared is None:
+                owner, shingle, _ = shingles(texts, kind, size)
+                sizes, sampled = np.bincount(owner, minlength=len(texts)), samples(owner, shingle, len(texts), count)
+                sketches = _parities(owner, shingle, sizes)
+            else:
+                sampled, sizes = signatures(texts, kind, size, shared.value, n, count)
+                sampled, sketches = sampled.view(np.uint32), [np.empty((0, words), np.uint64) for words in 8 << np.arange(6)]
+            salt = np.array([_word_code(t) for t in names], dtype=np.uint64)[(code := np.array([codes[t] for t in block["tbl"]], dtype=np.int64))]
+            there = np.flatnonzero(sizes > 0)
+            head = np.zeros(len(there), dtype=_ENTRY)
+            head["rep"], head["size"], head["code"] = block["rep"].to_numpy()[there], sizes[there], code[there]
+            keys = []
+            for bands in dealt:
+                wave = np.empty((len(bands), len(there)), dtype=np.uint32)
+                for place, k in enumerate(bands):
+                    key = salt + np.uint64(k)
+                    for j in range(rows):
+                        key = _mix(key * np.uint64(31) + sampled[:, k * rows + j].astype(np.uint64))
+                    wave[place] = (key >> np.uint64(32)).astype(np.uint32)[there]
+                keys.append(wave.tobytes())
+            yield pd.DataFrame({"head": [_packed(head, _picked(there, sizes, sketches))]} | {f"w{i}": [k] for i, k in enumerate(keys)})
+
+    return reps.select("tbl", "rep", "text").mapInPandas(sign, "head binary, " + ", ".join(f"w{i} binary" for i in range(len(dealt))))
+
+
+#: So many entries of a wave's bands meet in one task, about, and so many pairs are looked at together.
+ENTRIES, PAIRS = 400_000, 200_000
+
+
+def _met(signed: DataFrame, bands: int, n: int, at_least: float | None) -> DataFrame:
+    """Pairs (``code`` of the table, ``a`` < ``b``) whose keys agree in a band of a wave (``head`` and the wave's keys), once for each such band.
+
+    An equi-join on the key: every part of the range of keys goes to one task, packed, and is sorted there. With ``at_least`` pairs that
+    their sizes and sketches rule out are left out (see ``_allowed``). A key of many texts gives its pairs piece by piece.
+    """
+    parts = max(shuffle_partitions(signed.sparkSession), math.ceil(n * bands / ENTRIES))
+    wave = signed.columns[1]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, keys in zip(batch.column("head"), batch.column(wave), strict=True):
+                head, sketches = _unpacked(packed.as_buffer())
+                keys = np.frombuffer(keys.as_buffer(), np.uint32)
+                part = (keys.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)
+                order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts), side="right")
+                texts, blobs = order % max(1, len(head)), []
+                for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+                    own = head[texts[a:b]]
+                    own["key"] = keys[order[a:b]]
+                    blobs.append(_packed(own, _picked(texts[a:b], head["size"], sketches)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(blobs, pa.binary())], ["part", "packed"])
+
+    def near(x: np.ndarray, y: np.ndarray, entries: np.ndarray, width: np.ndarray, place: np.ndarray, sketches: list[np.ndarray]) -> pa.RecordBatch:
+        rep, code, sizes = entries["rep"], entries["code"], entries["size"]
+        ok = (code[x] == code[y]) & (rep[x] != rep[y])
+        if at_least is not None:
+            nx, ny = sizes[x], sizes[y]
+            ok &= np.minimum(nx, ny) >= at_least * np.maximum(nx, ny)
+        x, y = x[ok], y[ok]
+        if at_least is not None:
+            close = _close(x, y, sizes, width, place, sketches, at_least)
+            x, y = x[close], y[close]
+        a, b = rep[x], rep[y]
+        return pa.RecordBatch.from_arrays([pa.array(code[x].astype(np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["code", "a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpacked(x.as_buffer()) for batch in batches for x in batch.column("packed")]
+        if not held:
+            return
+        entries = np.concatenate([x for x, _ in held])
+        sketches = [np.concatenate(x) for x in zip(*[x for _, x in held], strict=True)]
+        order = np.argsort(entries["key"], kind="stable")
+        key = entries["key"][order]
+        # where a text's sketch is among those of its width
+        width, place = _width(entries["size"]), np.zeros(len(entries), dtype=np.int64)
+        for words in 8 << np.arange(6):
+            own = width == words
+            place[own] = np.arange(own.sum())
+        at, apart, left, right, waiting = np.arange(len(key)), 1, [], [], 0
+        while len(at := at[at + apart < len(key)]) and len(at := at[key[at] == key[at + apart]]):
+            for k in range(0, len(at), PAIRS):
+                left.append(at[k : k + PAIRS])
+                right.append(left[-1] + apart)
+                waiting += len(left[-1])
+                if waiting >= PAIRS:
+                    yield near(order[np.concatenate(left)], order[np.concatenate(right)], entries, width, place, sketches)
+                    left, right, waiting = [], [], 0
+            apart += 1
+        if waiting:
+            yield near(order[np.concatenate(left)], order[np.concatenate(right)], entries, width, place, sketches)
+
+    return signed.mapInArrow(deal, "part int, packed binary").repartitionById(parts, F.col("part")).mapInArrow(meet, "code int, a bigint, b bigint")
+
+
+def _close(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, width: np.ndarray, place: np.ndarray, sketches: list[np.ndarray], at_least: float) -> np.ndarray:
+    """Whether the sketches leave the pairs ``x``, ``y`` open, wider ones folded to the narrower."""
+    out = np.zeros(len(x), dtype=bool)
+    wx, wy = width[x], width[y]
+    for both in np.flatnonzero(np.bincount(wx << 9 | wy)):
+        own = np.flatnonzero((wx << 9 | wy) == both)
+        i, j = int(both >> 9).bit_length() - 4, int(both & 511).bit_length() - 4
+        a, b = sketches[i][place[x[own]]], sketches[j][place[y[own]]]
+        while a.shape[1] > b.shape[1]:
+            a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+        while b.shape[1] > a.shape[1]:
+            b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+        total = sizes[x[own]].astype(np.float64) + sizes[y[own]]
+        differ = np.bitwise_count(a ^ b).astype(np.float32) @ np.ones(a.shape[1], np.float32)
+        out[own] = differ <= _allowed(total, a.shape[1], at_least)
+    return out
+
+
 #: Sketches have this many words of 64 bits.
 SKETCH = 16
 
@@ -247,33 +480,6 @@ def _near(met: DataFrame, sketches: DataFrame, at_least: float, parts: list[Colu
 MOST_TABLES = 1024
 
 
-def _candidates(reps: DataFrame, names: list[str], bands: range, rows: int, kind: str, size: int, shared, n: int, least: float) -> DataFrame:
-    """Distinct pairs (``code`` of the table, ``a`` < ``b``) that agree in one of the ``bands`` and whose numbers of shingles differ by no more than ``least`` allows."""
-    codes = {t: c for c, t in enumerate(names)}
-
-    def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _blocks(batches, 16000):
-            sig, counts = signatures(block["text"].tolist(), kind, size, shared.value, n, [k * rows + j for k in bands for j in range(rows)])
-            bits = sig.view(np.uint32).astype(np.uint64)
-            salt = np.array([_word_code(t) for t in block["tbl"]], dtype=np.uint64)
-            there = counts > 0
-            # the size and the table in one number
-            sized = (counts.astype(np.int64) << 10) | np.array([codes[t] for t in block["tbl"]], dtype=np.int64)
-            for place, k in enumerate(bands):
-                key = salt + np.uint64(k)
-                for j in range(rows):
-                    key = _mix(key * np.uint64(31) + bits[:, place * rows + j])
-                yield pd.DataFrame({"key": key[there].view(np.int64), "rep": block["rep"].to_numpy()[there], "size": sized[there]})
-
-    # one shuffle serves both sides: they read the same columns of the same exchange
-    banded = reps.mapInPandas(band, "key bigint, rep bigint, size bigint").repartition("key")
-    left, right = banded.toDF("key", "a", "na"), banded.toDF("key", "b", "nb")
-    close = F.least("na", "nb") >= least * F.greatest("na", "nb")
-    table = lambda c: F.col(c).bitwiseAND(F.lit(MOST_TABLES - 1))
-    met = left.join(right, "key").where((F.col("a") < F.col("b")) & (table("na") == table("nb")) & close)
-    return met.select(table("na").cast("int").alias("code"), "a", "b").distinct()
-
-
 def _verifier(kind: str, size: int, at_least: float, shared, n: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -18,15 +18,17 @@ def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     messages = read_table(spark, sf_dir, "messages", *MESSAGE_COLUMNS)
     own = messages.where(delivery.session_name(F.col("session_id")).isNotNull()).select(F.lit("messages").alias("tbl"), "id", "content")
     texts = neardup.prepared(facts.unionByName(own), F.col("content"), 80)
-    return texts, delivery.redelivered(messages).select(F.lit("messages").alias("tbl"), "id")
+    return texts, delivery.repeats(materialise(delivery.delivery_keys(messages), "deliveries")).select(F.lit("messages").alias("tbl"), "id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps, members = neardup.representatives(*_texts(spark, sf_dir))
     links = neardup.pairs(reps, kind="chars", size=5, at_least=0.6, weighted=False)
     found = materialise(neardup.expand(links, members).distinct(), "found")
-    # the rows of p1_found take no part
-    gone = residue.by_table(residue.residue(residue_queries.records(spark, sf_dir))).where("tbl = 'messages'")
+    # the rows of p1_found take no part; only rows in pairs need to be asked for
+    own = found.where("tbl = 'messages'")
+    asked = materialise(own.select(F.col("id_a").alias("id")).unionByName(own.select(F.col("id_b").alias("id"))).distinct(), "asked")
+    gone = residue.by_table(residue.residue(residue_queries.records(spark, sf_dir, small(asked, 2_000_000)))).where("tbl = 'messages'")
     out = small(gone.select("tbl", F.col("rec_id").cast("bigint").alias("gone")).distinct())
     for side in ("id_a", "id_b"):
         found = found.join(out.withColumnRenamed("gone", side), ["tbl", side], "left_anti")

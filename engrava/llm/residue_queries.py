@@ -9,14 +9,14 @@ from engrava.llm import residue
 from engrava.sources import read_table
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages and candidates as one corpus."""
-    return residue.together(
-        {
-            "messages": residue.message_records(read_table(spark, sf_dir, "messages", "id", "session_id", "metadata", "content")),
-            "candidates": residue.candidate_records(read_table(spark, sf_dir, "candidates", "id", "source_path", "summary", "metadata", "content")),
-        }
-    )
+def records(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """Messages and candidates as one corpus; with ``asked`` (distinct ``id``) only those messages are asked for, see ``residue``."""
+    messages = read_table(spark, sf_dir, "messages", "id", "session_id", "metadata", "content")
+    candidates = residue.candidate_records(read_table(spark, sf_dir, "candidates", "id", "source_path", "summary", "metadata", "content"))
+    if asked is not None:
+        messages = messages.join(asked.select("id", F.lit(True).alias("asked")), "id", "left")
+        candidates = candidates.withColumn("asked", F.lit(False))
+    return residue.together({"messages": residue.message_records(messages), "candidates": candidates})
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

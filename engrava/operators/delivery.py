@@ -63,7 +63,11 @@ def redelivered(messages: DataFrame) -> DataFrame:
     Nulls: rows with a null or blank session are never repeats; a null hash is filled in from the row; null content counts as
     empty text. An empty table gives an empty result. Further columns of ``messages`` are not read. ``id`` must be unique.
     """
-    keys = delivery_keys(messages)
+    return repeats(delivery_keys(messages))
+
+
+def repeats(keys: DataFrame) -> DataFrame:
+    """``redelivered`` by the ``delivery_keys``, which are read twice."""
     first = (
         keys.groupBy("key")
         .agg(F.min(F.struct(F.coalesce("sec", F.lit(float("inf"))).alias("sec"), "id")).alias("first"), F.count("*").alias("n"))

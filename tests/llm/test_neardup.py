@@ -121,3 +121,62 @@ def test_sketches_rule_out_and_lose_nothing(spark):
     sets = [grams(t) for t in texts]
     want = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
     assert len(want) > 100 and want <= near and len(near) < 2 * len(want) < len(pairs) / 10
+
+
+def test_a_pair_at_the_threshold_meets_with_its_set_jaccard():
+    rng = random.Random(41)
+    texts, want = [], []
+    for n in (90, 160, 500, 900):
+        for _ in range(40):
+            # typing errors make rare runs of characters: weighted samples see far less than the sets have in common
+            a = " ".join(rng.choice(WORDS) for _ in range(n // 4))[:n]
+            b = "".join(rng.choice("0123456789") if i % 19 == 9 else c for i, c in enumerate(a))
+            texts += [a, b]
+            want.append(len(grams(a) & grams(b)) / len(grams(a) | grams(b)))
+    owner, shingle, _ = neardup.shingles(texts, "chars", 5)
+    got = neardup.samples(owner, shingle, len(texts), 268)
+    agree = (got[::2] == got[1::2]).mean(axis=1)
+    assert abs((agree - np.array(want)).mean()) < 0.01 and np.abs(agree - np.array(want)).max() < 0.15
+    alone = [neardup.samples(*neardup.shingles([t], "chars", 5)[:2], 1, 268)[0] for t in texts[:6] + texts[-6:]]
+    assert (np.array(alone) == got[[0, 1, 2, 3, 4, 5, -6, -5, -4, -3, -2, -1]]).all()
+
+
+def test_what_stays_in_the_band_is_ruled_out_rightly():
+    rng = random.Random(51)
+    texts = []
+    for n in (20, 60, 95, 110, 230, 500):
+        for _ in range(30):
+            w = [rng.choice(WORDS) + rng.choice("abc") for _ in range(n)]
+            v = list(w)
+            for at in rng.sample(range(n), round(n * rng.choice((0.05, 0.1, 0.15)))):
+                v[at] = rng.choice(WORDS)
+            texts += [" ".join(w), " ".join(v), " ".join(v + w[: n // 4])]
+    owner, shingle, _ = neardup.shingles(texts, "chars", 5)
+    sizes = np.bincount(owner, minlength=len(texts))
+    sketches = neardup._parities(owner, shingle, sizes)
+    entries, back = neardup._unpacked(neardup._packed(np.zeros(3, neardup._ENTRY), sketches))
+    assert len(entries) == 3 and all((a == b).all() for a, b in zip(sketches, back, strict=True))
+    width, place = neardup._width(sizes), np.zeros(len(texts), dtype=np.int64)
+    for words in np.unique(width):
+        place[width == words] = np.arange((width == words).sum())
+    x, y = (np.array(c) for c in zip(*[(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if min(sizes[i], sizes[j]) >= 0.6 * max(sizes[i], sizes[j])], strict=True))
+    close = neardup._close(x, y, sizes, width, place, sketches, 0.6)
+    sets = [grams(t) for t in texts]
+    jaccard = np.array([len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in zip(x, y, strict=True)])
+    similar = jaccard >= 0.6
+    assert len(np.unique(width)) >= 3 and (width[x] != width[y])[similar].any() and similar.sum() > 100
+    assert close[similar].all() and (jaccard < 0.3).sum() > 1000 and close[jaccard < 0.3].mean() < 0.05
+
+
+def test_bands_leave_few_pairs_and_little_to_shuffle(spark):
+    reps = spark.createDataFrame([("t", i, t) for i, t in enumerate(dict.fromkeys(corpus()))] + [("u", 999, corpus()[0])], "tbl string, rep bigint, text string")
+    dealt = [range(0, 67, 2), range(1, 67, 2)]
+    signed = neardup._signed(reps, ["t", "u"], dealt, 4, "chars", 5, None, 240)
+    met = [neardup._met(signed.select("head", f"w{i}"), len(own), 240, 0.6) for i, own in enumerate(dealt)]
+    texts = {r.rep: grams(r.text) for r in reps.collect()}
+    got = {(r.code, r.a, r.b) for one in met for r in one.collect()}
+    want = {(0, i, j) for i in texts for j in texts if i < j < 999 and len(texts[i] & texts[j]) >= 0.6 * len(texts[i] | texts[j])}
+    assert want <= got and len(got) < 1.5 * len(want)
+    # an equi-join in packed parts: one exchange, and no join of single rows
+    plan = met[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan

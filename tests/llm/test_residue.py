@@ -1,8 +1,9 @@
 """Residue: sure cases, records that only talk about them, and corpus evidence."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from engrava.llm import residue
+from engrava.llm import residue, residue_queries
 
 SCHEMA = "rec_id string, host string, address string, title string, content string, extra int"
 
@@ -74,3 +75,12 @@ def test_corpus_decides_by_shared_wording_hosts_and_address(spark):
     # wording that mostly stands in other texts is no response's
     common = [(f"c{i}", f"host{i}", "a-b", None, page.replace("Something went wrong while", "Yesterday"), 1) for i in range(9)]
     assert residue.evidence(spark.createDataFrame(rows[:4] + common, SCHEMA)).count() == 0
+
+
+def test_asked_records_are_judged_as_in_the_whole_corpus(spark):
+    records = residue_queries.records(spark, "/root/testdata/sf0.001")
+    some = records.where("rec_id LIKE 'messages|%' AND pmod(xxhash64(rec_id), 2) = 0").select(F.substring_index("rec_id", "|", -1).cast("bigint").alias("id"))
+    ids = {f"messages|{r.id}" for r in some.collect()}
+    whole = {(r.rec_id, r.kind) for r in residue.residue(records).collect() if r.rec_id in ids}
+    got = {(r.rec_id, r.kind) for r in residue.residue(residue_queries.records(spark, "/root/testdata/sf0.001", some)).collect() if r.rec_id in ids}
+    assert got == whole and whole
